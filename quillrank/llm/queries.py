@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, mixing, url_rules
+from . import chat, line_dedup, mixing, simhash, url_rules
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_url_filter": url_rules.op3_url_filter,
     "op5_mix": mixing.op5_mix,
+    "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
