@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, mixing, simhash, url_rules
+from . import chat, decontaminate, line_dedup, mixing, quality_rules, simhash, url_rules
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_url_filter": url_rules.op3_url_filter,
     "op5_mix": mixing.op5_mix,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_quality_classifier": quality_rules.op8_quality_classifier,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
