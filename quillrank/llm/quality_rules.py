@@ -17,31 +17,43 @@ TREES, DEPTH, BINS, RATE = 24, 3, 32, 0.3
 PENALTY, STEPS = 0.0005, 1500
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Text statistics as columns; each is a finite double for any text, null and empty included."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.length(t)
-    count = lambda drawn: (chars - F.length(F.translate(t, drawn, ""))).cast("double")
-    words = F.regexp_count(t, F.lit(WORD)).cast("double")
+def with_statistics(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with statistics of ``text`` as columns, and their names.
+
+    Each is a finite double for any text, null and empty included. The words and what is neither letter nor white space are
+    taken out once; most counts run over that short rest.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    inner = docs.withColumns(
+        {
+            "_p_words": F.split(F.btrim(text, F.lit(SPACES)), r"[\x20\x09-\x0D]+", -1),
+            "_p_rest": F.regexp_replace(text, r"[\p{L}\x20\x09-\x0D]+", ""),
+            "_p_lines": F.split(text, "\n", -1),
+        }
+    )
+    chars, rest = F.length(text), F.col("_p_rest")
+    words = F.when(F.get("_p_words", F.lit(0)) == "", 0.0).otherwise(F.size("_p_words").cast("double"))
+    in_words = F.length(F.array_join("_p_words", ""))
+    count = lambda drawn: F.regexp_count(rest, F.lit(drawn)).cast("double")
     per_char = lambda c: c / F.greatest(chars, F.lit(1))
     per_word = lambda c: c / F.greatest(words, F.lit(1.0))
-    split = F.split(t, r"[\x20\x09-\x0D]+", -1)
-    lines = F.split(t, "\n", -1)
-    return {
+    stats = {
         "log_chars": F.log1p(chars.cast("double")),
         "log_words": F.log1p(words),
-        "word_length": per_word(chars - count(SPACES)),
-        "symbols": per_word(count("#*$%&@~^_=+<>{}[]\\/")),
-        "bars": per_word(count("|")),
-        "bangs": per_word(count("!?")),
-        "stops": per_word(count(".,;:")),
-        "digits": per_char(count("0123456789")),
-        "capitals": per_char(F.regexp_count(t, F.lit(r"\p{Lu}")).cast("double")),
-        "letters": per_char(F.regexp_count(t, F.lit(r"\p{L}")).cast("double")),
-        "distinct_words": per_word(F.size(F.array_distinct(split)).cast("double")),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines).cast("double"),
-        "line_words": words / F.size(lines),
+        "word_length": per_word(in_words),
+        "symbols": per_word(count(r"[#*$%&@~^_=+<>{}\[\]\\/]")),
+        "bars": per_word(count(r"\|")),
+        "bangs": per_word(count("[!?]")),
+        "stops": per_word(count("[.,;:]")),
+        "digits": per_char(count("[0-9]")),
+        "letters": per_char(in_words - F.length(rest)),
+        "capitals": per_char(F.regexp_count(text, F.lit(r"\p{Lu}")).cast("double")),
+        "distinct_words": per_word(F.size(F.array_distinct("_p_words")).cast("double")),
+        "distinct_lines": F.size(F.array_distinct("_p_lines")) / F.size("_p_lines").cast("double"),
+        "line_words": words / F.size("_p_lines"),
     }
+    out = inner.withColumns({f"_s_{n}": c.cast("double") for n, c in stats.items()}).drop("_p_words", "_p_rest", "_p_lines")
+    return out, [f"_s_{n}" for n in stats]
 
 
 @dataclass(frozen=True)
@@ -147,9 +159,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
-    stats = statistics(F.col("text"))
-    drawn = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "_y", *[c.alias(f"_s_{n}") for n, c in stats.items()])
-    once = drawn.groupBy("_id").agg(F.min(F.struct("_y", *[f"_s_{n}" for n in stats])).alias("r")).select("_id", "r.*")
+    drawn, names = with_statistics(docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text"))
+    once = drawn.groupBy("_id").agg(F.min(F.struct("_y", *names)).alias("r")).select("_id", "r.*")
     rows = once.toPandas().sort_values("_id")
     return fit_rules(rows.drop(columns=["_id", "_y"]).to_numpy(float), (rows["_y"] == 1).to_numpy(float))
 
@@ -161,9 +172,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     empty table gives an empty result; without usable labels all scores are 0.5.
     """
     rules, intercept = learn(docs.select("doc_id", "text"), labels, sample)
-    stats = statistics(F.col("text"))
-    wide = docs.select("*", *[c.alias(f"_s_{n}") for n, c in stats.items()])
-    names = [f"_s_{n}" for n in stats]
+    wide, names = with_statistics(docs)
     return wide.withColumn("_score", compile_score(rules, intercept, names)).drop(*names)
 
 
