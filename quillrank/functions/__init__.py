@@ -1 +1 @@
-
+"""Column expressions; all of them run inside the JVM."""

@@ -1,6 +1,416 @@
-"""Query registry: name to callable, and name to the SQL it must equal."""
+"""Query registry: name to callable over the test tables, and name to the SQL it must equal."""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scores import doubles, unit
+from ..functions.text import entity_ids, labelled_items, newest, recency_weights, tokenize
+from ..operators import bm25, bootstrap, metrics, profiling, rankers, validation, vectors
+from ..operators.store import dedup, manifest
+from ..sources.writers import rank_lines
+from ..streaming.popularity import stream_popularity
+from .model import IMP, Model
+from .sql import SQL  # noqa: F401
+
 QUERIES: dict = {}
-SQL: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+    return f
+
+
+def ranked(scored: DataFrame) -> DataFrame:
+    return rankers.rank(scored, IMP).select(*IMP, "pos", "article_id", "score", "rank")
+
+
+# ---- store
+
+
+@query
+def store_impressions(m: Model) -> DataFrame:
+    c = m.candidates.groupBy(*IMP).agg(F.count(F.lit(1)).alias("n_candidates"), F.sum("y").alias("n_clicked"))
+    out = m.impressions.join(c, IMP, "left").join(m.n_history, IMP, "left")
+    return out.select(*IMP, "t0", "split", "n_candidates", "n_clicked", F.coalesce("n_history", F.lit(0)).alias("n_history"))
+
+
+@query
+def store_split_counts(m: Model) -> DataFrame:
+    return manifest(m.impressions)
+
+
+@query
+def store_articles(m: Model) -> DataFrame:
+    return m.articles.select("article_id", "category", "subcategory", F.length("title").cast("long").alias("title_chars"), F.array_join("topics", ",").alias("topics"), "published")
+
+
+def _two_splits(m: Model) -> DataFrame:
+    e = m.events.where("article_id is not null")
+    train = e.where("w % 2 = 0").withColumn("source_split", F.lit("train")).withColumn("o", F.lit(0))
+    return train.unionByName(e.where("w % 2 <> 0").withColumn("source_split", F.lit("dev")).withColumn("o", F.lit(1)))
+
+
+@query
+def dedup_keep_first(m: Model) -> DataFrame:
+    return dedup(_two_splits(m), ["article_id"], ["o", "event_id"]).select("article_id", "source_split", "event_id")
+
+
+@query
+def dedup_keep_last(m: Model) -> DataFrame:
+    return dedup(_two_splits(m), ["article_id"], ["o", "event_id"], "last").select("article_id", "source_split", "event_id")
+
+
+@query
+def recency_weights_of_history(m: Model) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(-F.col("age"), "article_id"))), lambda x: x["article_id"])
+    lists = m.past.groupBy(*IMP).agg(ordered.alias("h"))
+    each = lists.select(*IMP, F.posexplode(F.arrays_zip("h", recency_weights(F.col("h")).alias("w8"))).alias("i", "z"), F.size("h").alias("n"))
+    return each.select(*IMP, (F.col("n") - 1 - F.col("i")).alias("age"), F.col("z.h").alias("article_id"), F.col("z.w8").alias("weight"))
+
+
+@query
+def newest_five(m: Model) -> DataFrame:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(-F.col("age"), "article_id"))), lambda x: x["article_id"])
+    lists = m.past.groupBy(*IMP).agg(ordered.alias("h"))
+    return lists.select(*IMP, F.posexplode(newest(F.col("h"), 5)).alias("age", "article_id"))
+
+
+@query
+def parse_labelled_items(m: Model) -> DataFrame:
+    tail = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_type") == "click", "-1").otherwise("-0")
+    item = F.concat(F.when(F.col("event_id") % 5 == 0, "A-").otherwise("N"), F.col("article_id").cast("string"), tail)
+    text = F.when(F.col("event_id") % 11 == 0, F.concat(item, F.lit("  1 -1"))).otherwise(item)
+    candidates, clicked = labelled_items(text)
+    return m.events.select("event_id", F.array_join(candidates, "|").alias("candidates"), F.array_join(clicked, "|").alias("clicked"), F.size(clicked).alias("n_clicked"))
+
+
+@query
+def parse_entities(m: Model) -> DataFrame:
+    good = F.concat(F.lit('[{"WikidataId":"Q'), F.col("article_id").cast("string"), F.lit('"},{"Label":"x"},{"WikidataId":"Q'), F.col("article_id").cast("string"), F.lit('"}]'))
+    text = F.when(F.col("event_id") % 3 == 0, F.lit("garbage")).when(F.col("event_id") % 3 == 1, good)
+    return m.events.select("event_id", F.array_join(entity_ids(text), ",").alias("entities"))
+
+
+# ---- popularity and rankers
+
+
+@query
+def popularity_click_counts(m: Model) -> DataFrame:
+    return m.clicks
+
+
+@query
+def stream_popularity_counts(m: Model) -> DataFrame:
+    return stream_popularity(m.spark, f"{m.sf_dir}/events.parquet", tempfile.mkdtemp() if not (d := m.spark.conf.get("spark.checkpoint.dir", None)) else f"{d}/{tempfile.mktemp(dir='')}", F.get_json_object("props", "$.k").cast("long"))
+
+
+@query
+def rank_popularity(m: Model) -> DataFrame:
+    out = rankers.rank(rankers.popularity(m.validation, m.clicks, IMP), IMP)
+    return out.select(*IMP, "pos", "article_id", "rank")
+
+
+@query
+def rank_log_popularity(m: Model) -> DataFrame:
+    return ranked(rankers.log_popular(m.validation, m.clicks, IMP))
+
+
+@query
+def affinity_profile(m: Model) -> DataFrame:
+    out = rankers.affinity(m.past, m.articles, IMP, ["category", "subcategory", "topics"], 0.85, 20)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
+@query
+def rank_affinity_raw(m: Model) -> DataFrame:
+    return ranked(rankers.affinity_ranker(m.validation, m.past, m.articles, m.clicks, IMP))
+
+
+@query
+def rank_affinity_norm(m: Model) -> DataFrame:
+    return ranked(rankers.affinity_ranker(m.validation, m.past, m.articles, m.clicks, IMP, normalize=True))
+
+
+@query
+def rank_category_history(m: Model) -> DataFrame:
+    return ranked(rankers.affinity_ranker(m.validation, m.past, m.articles, m.clicks, IMP, weights={"category": 1.0}, normalize=True))
+
+
+@query
+def rank_topic_fresh(m: Model) -> DataFrame:
+    return ranked(rankers.topic_fresh(m.validation, m.past, m.articles, m.clicks, m.times, IMP))
+
+
+@query
+def rank_topic_fresh_assumed(m: Model) -> DataFrame:
+    """The variant that takes an unknown publication time as just now."""
+    return ranked(rankers.topic_fresh(m.validation, m.past, m.articles, m.clicks, m.times, IMP, missing_freshness=1.0))
+
+
+@query
+def rank_semantic_candidates(m: Model) -> DataFrame:
+    return ranked(rankers.semantic(m.validation, m.past, m.vectors, IMP))
+
+
+@query
+def rank_hybrid(m: Model) -> DataFrame:
+    return ranked(rankers.hybrid(m.validation, m.past, m.articles, m.vectors, m.clicks, IMP))
+
+
+@query
+def submission_lines(m: Model) -> DataFrame:
+    out = rankers.rank(rankers.popularity(m.validation, m.clicks, IMP), IMP)
+    return rank_lines(out, "user_id", IMP)
+
+
+@query
+def validate_permutation(m: Model) -> DataFrame:
+    sizes = m.validation.groupBy(*IMP).agg(F.count(F.lit(1)).alias("n_candidates"))
+    lines = submission_lines(m)
+    broken = F.when(F.col("user_id") % 10 == 0, F.regexp_replace("line", r"\[1", "[2")).otherwise(F.col("line"))
+    return validation.validate_lines(lines.withColumn("line", broken), sizes, "user_id", IMP)
+
+
+# ---- lexical
+
+
+@query
+def tokenize_documents(m: Model) -> DataFrame:
+    return m.texts.select(F.col("article_id").alias("doc_id"), F.explode(tokenize(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def bm25_postings(m: Model) -> DataFrame:
+    return bm25.postings(m.texts).withColumnRenamed("article_id", "doc_id")
+
+
+@query
+def bm25_term_stats(m: Model) -> DataFrame:
+    return bm25.term_stats(m.texts).withColumn("idf", F.round("idf", 6))
+
+
+@query
+def bm25_corpus_stats(m: Model) -> DataFrame:
+    return bm25.corpus_stats(m.texts).withColumn("mean_length", F.round("mean_length", 6))
+
+
+def _terms(m: Model) -> DataFrame:
+    return bm25.query_terms(m.past, m.articles, IMP)
+
+
+@query
+def bm25_query_terms(m: Model) -> DataFrame:
+    return _terms(m)
+
+
+@query
+def rank_bm25_candidates(m: Model) -> DataFrame:
+    return ranked(bm25.candidate_scores(m.validation, _terms(m), bm25.weighted_postings(m.texts), IMP))
+
+
+def _bm25_top(m: Model) -> DataFrame:
+    return bm25.retrieve(_terms(m), bm25.weighted_postings(m.texts), m.past, IMP)
+
+
+@query
+def retrieve_bm25_topk(m: Model) -> DataFrame:
+    return _bm25_top(m)
+
+
+def _recalled(m: Model, retrieved: DataFrame, asked: DataFrame, method: str) -> DataFrame:
+    clicked = m.validation.where("y = 1").join(asked, IMP, "left_semi")
+    each = metrics.recall(retrieved, clicked, IMP).withColumn("method", F.lit(method))
+    out = metrics.slices(each, m.n_history, IMP, ["recall_50", "recall_100", "recall_200"], ["method"])
+    return out.groupBy("method", "slice").agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("metric") == f"recall_{k}", F.col("value"))).alias(f"recall_{k}") for k in (50, 100, 200)]
+    )
+
+
+@query
+def recall_bm25(m: Model) -> DataFrame:
+    asked = bm25.recent_titles(m.past, m.articles, IMP).where("query <> ''")
+    return _recalled(m, _bm25_top(m), asked, "bm25")
+
+
+# ---- vectors
+
+
+@query
+def article_vectors(m: Model) -> DataFrame:
+    ids = m.table("documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
+    members = ids.select("doc_id", ((F.col("doc_id") * 7 + F.col("j")) % 600).alias("article_id"))
+    every = m.table("embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
+    return vectors.pooled(members, every, ["doc_id"]).withColumn("value", F.round("value", 6))
+
+
+@query
+def user_vectors(m: Model) -> DataFrame:
+    out = rankers.user_vectors(m.past, m.vectors, IMP).select(*IMP, F.posexplode("user_vector").alias("dim", "value"))
+    return out.withColumn("value", F.round("value", 6))
+
+
+def _semantic_top(m: Model) -> DataFrame:
+    units = m.vectors.select("article_id", unit(doubles(F.col("vector"))).alias("vector"))
+    return vectors.dense_top_k(rankers.user_vectors(m.past, m.vectors, IMP), units, m.past, IMP)
+
+
+@query
+def retrieve_semantic_topk(m: Model) -> DataFrame:
+    return _semantic_top(m)
+
+
+@query
+def recall_semantic(m: Model) -> DataFrame:
+    asked = m.past.join(m.vectors.select("article_id"), "article_id", "left_semi").select(*IMP)
+    return _recalled(m, _semantic_top(m), asked, "semantic")
+
+
+# ---- metrics
+
+
+def _by_affinity(m: Model) -> DataFrame:
+    return m.labelled(rankers.affinity_ranker(m.validation, m.past, m.articles, m.clicks, IMP, normalize=True))
+
+
+@query
+def metric_auc_scores(m: Model) -> DataFrame:
+    return metrics.auc_on_scores(m.labelled(rankers.log_popular(m.validation, m.clicks, IMP)), IMP)
+
+
+@query
+def metric_auc_ranks(m: Model) -> DataFrame:
+    return metrics.auc_on_ranks(m.labelled(rankers.log_popular(m.validation, m.clicks, IMP)), IMP)
+
+
+@query
+def metric_mrr(m: Model) -> DataFrame:
+    return metrics.mrr(_by_affinity(m), IMP)
+
+
+@query
+def metric_ndcg(m: Model) -> DataFrame:
+    return metrics.ndcg(_by_affinity(m), IMP)
+
+
+@query
+def metric_diversity(m: Model) -> DataFrame:
+    return metrics.diversity(_by_affinity(m), m.vectors, IMP)
+
+
+@query
+def metric_novelty(m: Model) -> DataFrame:
+    return metrics.novelty(_by_affinity(m), m.clicks, IMP)
+
+
+def _catalog(m: Model) -> DataFrame:
+    return m.table("documents").agg(F.count(F.lit(1)).alias("catalog"))
+
+
+@query
+def metric_coverage(m: Model) -> DataFrame:
+    return metrics.coverage(_by_affinity(m), _catalog(m))
+
+
+@query
+def metric_slices(m: Model) -> DataFrame:
+    methods = {
+        "popularity": rankers.popularity(m.validation, m.clicks, IMP),
+        "affinity": rankers.affinity_ranker(m.validation, m.past, m.articles, m.clicks, IMP, normalize=True),
+        "hybrid": rankers.hybrid(m.validation, m.past, m.articles, m.vectors, m.clicks, IMP),
+    }
+    by = None
+    for name, scored in methods.items():
+        part = scored.withColumn("method", F.lit(name)).withColumn("score", scored["score"].cast("double"))
+        by = part if by is None else by.unionByName(part)
+    keys = ["method", *IMP]
+    labelled = rankers.rank(by, keys).join(m.validation.select(*IMP, "pos", "y"), [*IMP, "pos"])
+    clicked = labelled.groupBy(*keys).agg(F.max("y").alias("any")).where("any = 1")
+    labelled = labelled.join(clicked.select(*keys), keys, "left_semi")
+    each = metrics.auc_on_scores(labelled, keys).join(metrics.mrr(labelled, keys), keys).join(metrics.ndcg(labelled, keys), keys)
+    return metrics.slices(each, m.n_history, IMP, ["auc", "mrr", "ndcg_5", "ndcg_10"], ["method"])
+
+
+@query
+def bootstrap_ci(m: Model) -> DataFrame:
+    return bootstrap.bootstrap_ci(metrics.ndcg(_by_affinity(m), IMP), IMP, "ndcg_10", "ndcg_10")
+
+
+@query
+def bootstrap_coverage(m: Model) -> DataFrame:
+    return bootstrap.bootstrap_coverage(_by_affinity(m), IMP, _catalog(m))
+
+
+# ---- profiling
+
+
+@query
+def profile_nulls(m: Model) -> DataFrame:
+    return profiling.nulls(m.articles.select("title", "abstract", "category", "published"))
+
+
+@query
+def profile_table_shape(m: Model) -> DataFrame:
+    return profiling.shape({t: m.table(t) for t in ("documents", "events", "embeddings")})
+
+
+@query
+def profile_value_counts(m: Model) -> DataFrame:
+    return profiling.value_counts(m.articles, "subcategory", 10)
+
+
+@query
+def profile_history_len(m: Model) -> DataFrame:
+    lens = m.impressions.select(*IMP).join(m.n_history, IMP, "left").select(F.coalesce("n_history", F.lit(0)).alias("x"))
+    return profiling.spread(lens, "x")
+
+
+@query
+def profile_candidates_len(m: Model) -> DataFrame:
+    return profiling.spread(m.candidates.groupBy(*IMP).agg(F.count(F.lit(1)).alias("x")), "x")
+
+
+@query
+def profile_click_rate(m: Model) -> DataFrame:
+    return profiling.spread(m.candidates.groupBy(*IMP).agg(F.round(F.avg("y"), 6).alias("x")), "x")
+
+
+@query
+def profile_clicks_per_impression(m: Model) -> DataFrame:
+    return profiling.value_counts(m.candidates.groupBy(*IMP).agg(F.sum("y").alias("x")), "x")
+
+
+@query
+def profile_impressions_per_user(m: Model) -> DataFrame:
+    return m.impressions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def profile_histogram(m: Model) -> DataFrame:
+    return profiling.histogram(m.table("documents").where("n_chars < 20000"), "n_chars")
+
+
+@query
+def profile_bool_share(m: Model) -> DataFrame:
+    return profiling.share_true(m.events.withColumn("b", F.col("event_type") == "click"), "b")
+
+
+@query
+def profile_time_range(m: Model) -> DataFrame:
+    text = F.date_format("ts", "M/d/yyyy h:mm:ss a")
+    return m.events.agg(F.min(text).alias("first_text"), F.max(text).alias("last_text"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+# ---- the second log: orders as impressions
+
+
+@query
+def orders_popularity_rank(m: Model) -> DataFrame:
+    """Parts of an order ranked by how often they were returned in all orders."""
+    lines = m.table("lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("article_id")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("y"))
+    clicks = rankers.click_counts(lines)
+    scored = lines.join(clicks, "article_id", "left").select("o", F.col("article_id").alias("pos"), "article_id", F.coalesce("clicks", F.lit(0)).cast("double").alias("score"))
+    return rankers.rank(scored, ["o"]).select(F.col("o").alias("orderkey"), F.col("article_id").alias("partkey"), F.col("score").cast("long").alias("clicks"), "rank")

@@ -1 +1 @@
-
+"""Readers and writers of the logs' file formats."""

@@ -1 +1 @@
-
+"""Bounded runs of Structured Streaming."""
