@@ -46,3 +46,7 @@ def norm(v: Column) -> Column:
 def unit(v: Column) -> Column:
     n = F.greatest(norm(v), F.lit(FLOOR))
     return F.transform(v, lambda x: x / n)
+
+
+def cosine_of(a: Column, b: Column) -> Column:
+    return dot(unit(a), unit(b))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scores import doubles, dot
+from ..functions.scores import doubles
 
 COLD, WARM, ALL = "cold_history_under_5", "warm_history_5_or_more", "all"
 COLD_BELOW = 5
@@ -97,7 +97,3 @@ def slices(values: DataFrame, n_history: DataFrame, keys: list[str], metrics: li
         *by, F.explode(F.array(F.lit(ALL), bucket)).alias("slice"), F.expr(f"stack({len(metrics)}, {', '.join(f'{m!r}, cast({m} as double)' for m in metrics)}) as (metric, v)")
     )
     return long.groupBy(*by, "slice", "metric").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("value"))
-
-
-def pair_cosine(a, b):
-    return dot(doubles(a), doubles(b))

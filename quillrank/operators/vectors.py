@@ -40,6 +40,8 @@ def dense_top_k(users: DataFrame, vectors: DataFrame, history: DataFrame, keys:
     found = None
     for b in range(n_blocks):
         rows = vectors.where(F.pmod(F.xxhash64("article_id"), F.lit(n_blocks)) == b).orderBy("article_id").select("article_id", "vector").collect()
+        if not rows:
+            continue
         held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
 
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -63,6 +65,8 @@ def dense_top_k(users: DataFrame, vectors: DataFrame, history: DataFrame, keys:
 
         near = asked.select(*keys, "user_vector", "_seen").mapInPandas(search, schema)
         found = near if found is None else found.union(near)
+    if found is None:
+        found = spark.createDataFrame([], schema)
     score = F.when(F.col("masked") == 0, F.round("raw", 6))
     w = W.partitionBy(*keys).orderBy("masked", F.desc("score"), "article_id")
     ranked = found.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
