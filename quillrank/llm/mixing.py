@@ -59,6 +59,13 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
+def copies_of(doc_id: Column, target: Column, source_size: Column, seed: str = SEED) -> Column:
+    """How often a document is taken: the whole part of its source's rate, and a draw on the fraction."""
+    rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
+    base = F.floor(rate)
+    return (base + F.when(draw(doc_id, seed) < rate - base, 1).otherwise(0)).cast("long")
+
+
 def mix_copies(docs: DataFrame, total: float = TOTAL, cap: int = CAP, weights=WEIGHTS, seed: str = SEED) -> DataFrame:
     """One row per row of ``docs(doc_id, source, text)`` with how often the mix takes it.
 
@@ -73,10 +80,8 @@ def mix_copies(docs: DataFrame, total: float = TOTAL, cap: int = CAP, weights=WE
     narrow = materialize(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
     targets = materialize(source_targets(narrow, weights, total, cap), "targets").withColumnRenamed("source", "_src")
     joined = narrow.join(targets, F.col("source").eqNullSafe(F.col("_src")), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    base = F.floor(rate)
-    copies = base + F.when(draw(F.col("doc_id"), seed) < rate - base, 1).otherwise(0)
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    copies = copies_of(F.col("doc_id"), F.col("target"), F.col("source_size"), seed)
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:
@@ -89,14 +94,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The sizes of all that the stage before kept decide the rates.
     """
-    copies = mix_copies(docs.select("doc_id", "source", "text"))
-    targets = copies.select(F.col("source").alias("_src"), "source_size", "target").distinct()
-    targets = materialize(targets, "rates")
-    joined = docs.join(targets, F.col("source").eqNullSafe(F.col("_src")), "left")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    base = F.floor(rate)
-    n = (base + F.when(draw(F.col("doc_id")) < rate - base, 1).otherwise(0)).cast("int")
-    return joined.where(n > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), n)).alias("copy"))
+    mixed = mix_copies(docs.select("doc_id", "source", "text"))
+    rates = mixed.select(F.col("source").alias("_src"), F.col("source_size").alias("_size"), F.col("target").alias("_target")).distinct()
+    joined = docs.join(materialize(rates, "rates"), F.col("source").eqNullSafe(F.col("_src")), "left")
+    n = copies_of(F.col("doc_id"), F.col("_target"), F.col("_size")).cast("int")
+    kept = [c for c in docs.columns if c != "copy"]
+    return joined.where(n > 0).select(*kept, F.explode(F.sequence(F.lit(1), n)).alias("copy"))
 
 
 OP5_SQL = rf"""
