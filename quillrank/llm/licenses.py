@@ -96,10 +96,10 @@ class Templates:
     def __init__(self, templates: dict[str, list[str]]):
         self.rows = [(name, TOKEN.findall(t.lower())) for name, ts in templates.items() for t in ts]
         self.codes = {w: k for k, w in enumerate(sorted({w for _, ws in self.rows for w in ws}))}
-        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.pairs: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for t, (_, ws) in enumerate(self.rows):
             for k in range(len(ws) - 1):
-                self.pairs[self.codes[ws[k]] * len(self.codes) + self.codes[ws[k + 1]]].append((t, k))
+                self.pairs[self.codes[ws[k]] * len(self.codes) + self.codes[ws[k + 1]]][t].append(k)
         self.keys = np.array(sorted(self.pairs), np.int64)
 
     def regions(self, words: list[str]) -> list[tuple[int, int, int]]:
@@ -109,12 +109,13 @@ class Templates:
         seen = np.flatnonzero(np.isin(pair, self.keys)) if len(pair) else ()
         runs: dict[int, list[list[int]]] = defaultdict(list)
         for p in seen:
-            for t, k in self.pairs[int(pair[p])]:
+            for t, places in self.pairs[int(pair[p])].items():
                 size, last = len(self.rows[t][1]), runs[t][-1] if runs[t] else None
-                if last and k > last[3] and p - last[1] <= size:
-                    last[1], last[3] = int(p), k
+                later = [k for k in places if last and k > last[3]] if last and p - last[1] <= size else []
+                if later:
+                    last[1], last[3] = int(p), later[0]
                 else:
-                    runs[t].append([int(p), int(p), k, k])
+                    runs[t].append([int(p), int(p), places[0], places[0]])
         out = []
         for t, found in runs.items():
             size = len(self.rows[t][1])

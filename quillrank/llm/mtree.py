@@ -43,6 +43,7 @@ class Tree:
     top_of: np.ndarray
     tops: np.ndarray
     sample: np.ndarray
+    sample_ids: np.ndarray
     top_distance: np.ndarray | None = None
     radius: np.ndarray | None = None
 
@@ -82,11 +83,11 @@ class Tree:
         return low, d
 
 
-def plant(sample: np.ndarray, bound: float, leaves: int) -> Tree:
+def plant(sample: np.ndarray, ids: np.ndarray, bound: float, leaves: int) -> Tree:
     """Routing objects are the first ``leaves`` of the hash-ordered sample, tops the first of those."""
     leaf = sample[:leaves]
     tops = np.arange(max(1, int(np.sqrt(len(leaf)))))
-    tree = Tree(bound, leaf, np.zeros(len(leaf), int), tops, sample)
+    tree = Tree(bound, leaf, np.zeros(len(leaf), int), tops, sample, ids)
     lifted = tree.lift(leaf)
     d = tree.between(lifted, lifted[tops])
     tree.top_of = d.argmin(axis=1)
@@ -99,11 +100,6 @@ def matrix(column) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
-def unpack(raw: bytes, width: int, kind=np.int64) -> np.ndarray:
-    got = np.frombuffer(raw, kind)
-    return got.reshape(-1, width) if width else got
-
-
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products: in floating point where all sums fit 53 bits, else in 64-bit integers."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
@@ -134,9 +130,10 @@ def search_pages(dim: int, k: int):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                qid, q = unpack(r.qids, 0), unpack(r.qvecs, dim)
-                tau, dq = unpack(r.taus, 0, np.float64), unpack(r.dists, 0, np.float64)
-                x, far, ids = unpack(r.vecs, dim), unpack(r.fars, 0, np.float64), pd.Series(r.ids)
+                qid, far, ids = np.frombuffer(r.qids, np.int64), np.frombuffer(r.fars), r.ids
+                tau, dq = np.frombuffer(r.taus), np.frombuffer(r.dists)
+                q = np.frombuffer(r.qvecs, np.int64).reshape(len(qid), dim)
+                x = np.frombuffer(r.vecs, np.int64).reshape(len(far), dim)
                 may = np.abs(dq[:, None] - far[None]) <= tau[:, None] * (1 + SLACK) + SLACK
                 some = np.flatnonzero(may.any(axis=0))
                 if not len(some):
@@ -159,9 +156,12 @@ def top_k_of_dim(base: DataFrame, queries: DataFrame, dim: int, k: int) -> DataF
     stats = objects.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("m")).first()
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, vec_id long, score long")
-    drawn = objects.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()
+    drawn = objects.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v", F.col("ids")[0].alias("id")).collect()
     leaves = max(1, min(LEAVES, -(-stats["n"] // PER_LEAF), len(drawn)))
-    tree = plant(np.array([r[0] for r in drawn], np.float64).reshape(len(drawn), dim), float(stats["m"]), leaves)
+    sample = np.array([r["v"] for r in drawn], np.float64).reshape(len(drawn), dim)
+    tree = plant(sample, np.array([r["id"] for r in drawn], np.int64), float(stats["m"]), leaves)
+    _, once = np.unique(tree.sample_ids, return_index=True)  # an id counts once for a k-th score
+    tree.sample, tree.sample_ids = tree.sample[once], tree.sample_ids[once]
 
     def insert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -176,7 +176,7 @@ def top_k_of_dim(base: DataFrame, queries: DataFrame, dim: int, k: int) -> DataF
     sizes = {r["leaf"]: -(-r["n"] // PAGE) for r in nodes}
     per_leaf = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("leaf"))
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         vecs = np.array(pdf.v.tolist(), np.int64)
         return pd.DataFrame({"leaf": [key[0]], "vecs": [vecs.tobytes()], "fars": [pdf.far.to_numpy().tobytes()], "ids": [pdf.ids.tolist()]})
 
@@ -193,8 +193,9 @@ def top_k_of_dim(base: DataFrame, queries: DataFrame, dim: int, k: int) -> DataF
                     q = matrix(pdf.v)
                     own = tree.insert(q)[0]
                     lifted = np.sqrt((q * q).sum(axis=1) + tree.bound)
-                    known = np.sort(exact_scores(q, tree.sample), axis=1)
-                    kth = known[:, -k - 1] if known.shape[1] > k else np.full(len(q), np.nan)
+                    known = exact_scores(q, tree.sample).astype(np.float64)
+                    known[pdf.query_id.to_numpy()[:, None] == tree.sample_ids[None]] = -np.inf
+                    kth = np.sort(known, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(q), -np.inf)
                     tau = np.sqrt(np.maximum(lifted**2 - 2 * kth, 0))
                     if not first:
                         tau = np.fmin(tau, np.sqrt(np.maximum(lifted**2 - 2 * pdf.kth.to_numpy(np.float64), 0)))
@@ -218,7 +219,8 @@ def top_k_of_dim(base: DataFrame, queries: DataFrame, dim: int, k: int) -> DataF
         asked = queries
         if not first:
             w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-            kth = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == k).select(F.col("query_id").alias("qk"), F.col("score").alias("kth"))
+            own = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            kth = own.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == k).select(F.col("query_id").alias("qk"), F.col("score").alias("kth"))
             asked = queries.join(kth, F.col("query_id") == F.col("qk"), "left")
         visit = materialize(asked.mapInPandas(plan(first), visits), "visits")
         with small_batches(spark, 64):
@@ -233,7 +235,8 @@ def m_tree_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: floa
 
     ``vectors(vec_id, embedding)`` is quantized to ``floor(scale * x)``. Queries are rows whose id is divisible by ``every``;
     candidates all rows but those of the query's id; ties go to the smaller id. Null vectors, null or non-finite components
-    and null ids take no part; repeated rows count once; vectors meet only vectors of their own length; a query with fewer
+    and null ids take no part; repeated rows count once; an id with several vectors is one query and one candidate, whose best
+    score counts; vectors meet only vectors of their own length; a query with fewer
     candidates has fewer rows; an empty table gives none.
 
     Index: routing objects are a bounded hash-ordered sample, every vector is inserted below its nearest, and leaves
