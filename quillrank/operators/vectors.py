@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import doubles, unit
 
 #: Vectors that are sent to the tasks at once; larger catalogs are searched block by block.
-BLOCK = 100_000
+BLOCK = 50_000
 
 
 def pooled(members: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,13 +36,13 @@ def dense_top_k(users: DataFrame, vectors: DataFrame, history: DataFrame, keys:
     seen = history.groupBy(*keys).agg(F.collect_set("article_id").alias("_seen"))
     asked = users.join(seen, keys, "left")
     n_blocks = max(1, -(-vectors.count() // block))
-    schema = ", ".join([f"{c} {t}" for c, t in users.select(*keys).dtypes] + ["article_id long", "raw double", "masked int"])
+    schema = ", ".join([f"{c} {t}" for c, t in users.select(*keys).dtypes] + [f"article_id {dict(vectors.dtypes)['article_id']}", "raw double", "masked int"])
     found = None
     for b in range(n_blocks):
-        rows = vectors.where(F.pmod(F.xxhash64("article_id"), F.lit(n_blocks)) == b).orderBy("article_id").select("article_id", "vector").collect()
-        if not rows:
+        rows = vectors.where(F.pmod(F.xxhash64("article_id"), F.lit(n_blocks)) == b).orderBy("article_id").select("article_id", "vector").toPandas()
+        if not len(rows):
             continue
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+        held = spark.sparkContext.broadcast((np.array(rows.article_id.tolist()), np.array(rows.vector.tolist(), np.float64)))
 
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             ids, matrix = held.value
@@ -53,7 +53,7 @@ def dense_top_k(users: DataFrame, vectors: DataFrame, history: DataFrame, keys:
                     out = []
                     for i in range(len(part)):
                         own = part._seen.iloc[i]
-                        masked = np.isin(ids, np.asarray([] if own is None else own, np.int64))
+                        masked = np.isin(ids, list(own)) if own is not None and len(own) else np.zeros(len(ids), bool)
                         s = np.round(scores[i], 6)
                         order = np.lexsort((ids, -s, masked))[:k]
                         if exclude == "drop":
