@@ -187,5 +187,11 @@ def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score under 0.5 go."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("_score >= 0.5").select(*docs.columns)
+    """Pipeline stage: documents that score under 0.5 go.
+
+    A generator of no or one element does the filtering: a predicate on the score would be pushed below the
+    statistics, each of which would then be computed anew in every term of every rule.
+    """
+    scored = score_quality(docs, table(spark, sf_dir, "labels"))
+    keep = F.when(F.col("_score") >= 0.5, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return scored.withColumn("_keep", F.explode(keep)).select(*docs.columns)
