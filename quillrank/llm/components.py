@@ -25,6 +25,30 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+class LocalUnion:
+    """Labels of ``n`` nodes of one process that links join bit by bit, in bounded memory."""
+
+    def __init__(self, n: int, hold: int = 200_000):
+        self.label, self.hold, self.links = np.arange(n), hold, []
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs aren't known to be joined; only those need a comparison."""
+        return self.label[a] != self.label[b]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.links.append((a, b))
+            if sum(len(x) for x, _ in self.links) >= self.hold:
+                self.roots()
+
+    def roots(self) -> np.ndarray:
+        """The smallest node that each node is joined to."""
+        if self.links:
+            a, b = (self.label[np.concatenate(x)] for x in zip(*self.links, strict=True))
+            self.label, self.links = local_roots(len(self.label), a, b)[self.label], []
+        return self.label
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``edges(a long, b long)``; one root, a node of it, per component.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import materialize, table
-from .components import connected_components, local_roots
+from .components import LocalUnion, connected_components
 
 BITS, RADIUS, SEGMENTS = 64, 2, 3
 #: A bucket of more fingerprints than this goes to the exact linear way.
@@ -90,21 +90,20 @@ def bucket_links(radius: int, segments: list[tuple[int, int]]):
                 continue
             flat = np.concatenate([np.asarray(x, np.int64) for x in pdf.fps])
             owner, start = np.repeat(np.arange(len(sizes)), sizes), np.repeat(pdf.segment.to_numpy(), sizes)
-            fps, at, a, b = flat.view(np.uint64), np.arange(len(flat)), [], []
+            fps, at, union = flat.view(np.uint64), np.arange(len(flat)), LocalUnion(len(flat))
             for step in range(1, int(sizes.max())):
                 at = at[at + step < len(flat)]
                 at = at[owner[at] == owner[at + step]]
                 if not len(at):
                     break
-                xor = fps[at] ^ fps[at + step]
-                keep = chain_ok(xor, start[at], radius, segments)
+                new = at[union.apart(at, at + step)]
+                xor = fps[new] ^ fps[new + step]
+                keep = chain_ok(xor, start[new], radius, segments)
                 keep[keep] = np.bitwise_count(xor[keep]) <= radius  # the full Hamming check
-                a.append(at[keep])
-                b.append(at[keep] + step)
-            if a:
-                root = local_roots(len(flat), np.concatenate(a), np.concatenate(b))
-                linked = np.flatnonzero(root != np.arange(len(flat)))
-                yield pd.DataFrame({"a": flat[linked], "b": flat[root[linked]]})
+                union.join(new[keep], new[keep] + step)
+            root = union.roots()
+            linked = np.flatnonzero(root != np.arange(len(flat)))
+            yield pd.DataFrame({"a": flat[linked], "b": flat[root[linked]]})
 
     return run
 
@@ -218,19 +217,18 @@ def window_links(radius: int, window: int):
         for pdf in batches:
             fresh = (pdf.key.to_numpy(), pdf.rep.to_numpy(), np.frombuffer(b"".join(pdf.fp), np.uint64).reshape(-1, WIDE))
             key, rep, fp = (np.concatenate(x) for x in zip(held, fresh, strict=True))
-            at, a, b = np.arange(max(1, len(held[0])), len(key)), [], []
+            at, union = np.arange(max(1, len(held[0])), len(key)), LocalUnion(len(key))
             for step in range(1, window + 1):
                 at = at[at >= step]
                 at = at[key[at] == key[at - step]]
                 if not len(at):
                     break
-                near = np.bitwise_count(fp[at] ^ fp[at - step]).sum(axis=1, dtype=np.int64) <= radius
-                a.append(at[near])
-                b.append(at[near] - step)
-            if a:
-                root = local_roots(len(key), np.concatenate(a), np.concatenate(b))
-                linked = np.flatnonzero(root != np.arange(len(key)))
-                yield pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]})
+                new = at[union.apart(at, at - step)]
+                near = new[np.bitwise_count(fp[new] ^ fp[new - step]).sum(axis=1, dtype=np.int64) <= radius]
+                union.join(near, near - step)
+            root = union.roots()
+            linked = np.flatnonzero(root != np.arange(len(key)))
+            yield pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]})
             last = slice(max(0, len(key) - window), None)
             held = (key[last], rep[last], fp[last])
 
