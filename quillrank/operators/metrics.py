@@ -55,6 +55,22 @@ def ndcg(ranked: DataFrame, keys: list[str], cuts=(5, 10), clicked: DataFrame |
     return g.select(*keys, *[F.round(F.coalesce(F.col(f"g{k}") / ideal(F.col("n"), k), F.lit(0.0)), 6).alias(f"ndcg_{k}") for k in cuts])
 
 
+def per_impression(ranked: DataFrame, keys: list[str], cuts=(5, 10)) -> DataFrame:
+    """``keys, n_clicked, auc, mrr, ndcg_<k>`` as above, from one window and one aggregate over the ranked candidates."""
+    ties = F.count(F.lit(1)).over(W.partitionBy(*keys, "score"))
+    mid = F.rank().over(W.partitionBy(*keys).orderBy("score")) + (ties - 1) / 2
+    gain = lambda k: F.sum(F.when((F.col("rank") <= k) & (F.col("y") == 1), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0))
+    g = ranked.withColumn("_mid", mid).groupBy(*keys).agg(
+        F.sum(F.col("_mid") * F.col("y")).alias("s"), F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"),
+        F.min(F.when(F.col("y") == 1, F.col("rank"))).alias("first"), *[gain(k).alias(f"g{k}") for k in cuts],
+    )
+    auc = F.when(F.col("p") * F.col("n") > 0, (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n")))
+    return g.select(
+        *keys, F.col("p").alias("n_clicked"), F.round(auc, 6).alias("auc"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"),
+        *[F.round(F.coalesce(F.col(f"g{k}") / ideal(F.col("p"), k), F.lit(0.0)), 6).alias(f"ndcg_{k}") for k in cuts],
+    )
+
+
 def recall(retrieved: DataFrame, clicked: DataFrame, keys: list[str], cuts=(50, 100, 200)) -> DataFrame:
     """``keys, recall_<k>`` of ``clicked(keys, article_id)``; every impression of ``clicked`` counts."""
     hits = clicked.select(*keys, "article_id").distinct().join(retrieved.select(*keys, "article_id", "rank"), [*keys, "article_id"], "left")

@@ -328,9 +328,7 @@ def metric_slices(m: Model) -> DataFrame:
         by = part if by is None else by.unionByName(part)
     keys = ["method", *IMP]
     labelled = rankers.rank(by, keys).join(m.validation.select(*IMP, "pos", "y"), [*IMP, "pos"])
-    clicked = labelled.groupBy(*keys).agg(F.max("y").alias("any")).where("any = 1")
-    labelled = labelled.join(clicked.select(*keys), keys, "left_semi")
-    each = metrics.auc_on_scores(labelled, keys).join(metrics.mrr(labelled, keys), keys).join(metrics.ndcg(labelled, keys), keys)
+    each = metrics.per_impression(labelled, keys).where("n_clicked > 0")
     return metrics.slices(each, m.n_history, IMP, ["auc", "mrr", "ndcg_5", "ndcg_10"], ["method"])
 
 

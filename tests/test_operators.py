@@ -121,3 +121,12 @@ def test_profiles(spark):
     assert [tuple(r) for r in profiling.value_counts(df, "c").collect()] == [("a", 2), (None, 1)]
     assert {r["bin"]: r["n"] for r in profiling.histogram(df, "x", 2).collect()} == {0: 1, 1: 2}
     assert profiling.schema_difference(df, df.withColumn("d", F.lit(1)))["only_second"] == [("d", "int")]
+
+
+def test_one_pass_metrics_equal_the_single_ones(spark):
+    more = [(2, p, s, 0) for p, s in enumerate([1.0, 2.0])] + [(3, p, s, 1) for p, s in enumerate([1.0, 1.0, 0.5])]
+    df = spark.createDataFrame([*SCORES, *more], "imp long, pos int, score double, y int")
+    ranked = rankers.rank(df, ["imp"])
+    both = metrics.per_impression(ranked, ["imp"]).orderBy("imp").collect()
+    single = metrics.auc_on_scores(ranked, ["imp"]).join(metrics.mrr(ranked, ["imp"]), "imp").join(metrics.ndcg(ranked, ["imp"]), "imp").orderBy("imp").collect()
+    assert [tuple(r[c] for c in ("imp", "auc", "mrr", "ndcg_5", "ndcg_10")) for r in both] == [tuple(r) for r in single]
