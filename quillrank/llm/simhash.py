@@ -209,16 +209,23 @@ def wide_pair(text: str | None, n: int) -> tuple[bytes, bytes]:
     return wide_majority(np.unique(mixed)), wide_majority(np.unique(longer if len(longer) > 8 else codes))
 
 
-def window_links(radius: int, window: int):
-    """Links between rows of one sorted run that share a key and are at most ``window`` rows apart."""
+def run_links(radius: int, window: int | None = None):
+    """Links between rows of one sorted run that share a key, as ``a, b``; with a window, also keys left unfinished, as ``open``.
+
+    With a window each row meets the ``window`` rows before it. A key is unfinished if its run is longer, or if it
+    is the first or last of its partition, where a run may be cut. Without a window runs must be bounded and whole.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, WIDE), np.uint64))
+        ends: set[int] = set()
         for pdf in batches:
+            if not len(pdf):
+                continue
             fresh = (pdf.key.to_numpy(), pdf.rep.to_numpy(), np.frombuffer(b"".join(pdf.fp), np.uint64).reshape(-1, WIDE))
             key, rep, fp = (np.concatenate(x) for x in zip(held, fresh, strict=True))
             at, union = np.arange(max(1, len(held[0])), len(key)), LocalUnion(len(key))
-            for step in range(1, window + 1):
+            for step in range(1, len(key) if window is None else window + 1):
                 at = at[at >= step]
                 at = at[key[at] == key[at - step]]
                 if not len(at):
@@ -228,23 +235,61 @@ def window_links(radius: int, window: int):
                 union.join(near, near - step)
             root = union.roots()
             linked = np.flatnonzero(root != np.arange(len(key)))
-            yield pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]})
-            last = slice(max(0, len(key) - window), None)
+            yield pd.DataFrame({"a": pd.array(rep[linked], "Int64"), "b": pd.array(rep[root[linked]], "Int64"), "open": pd.array([None] * len(linked), "Int64")})
+            if window is not None:
+                if not ends:
+                    ends.add(int(key[0]))
+                ends |= set(key[at].tolist()) if len(at) else set()  # rows that share their key with the row ``window`` before
+                last = slice(max(0, len(key) - window), None)
+            else:
+                last = slice(int(np.searchsorted(key, key[-1])), None)
             held = (key[last], rep[last], fp[last])
+        if window is not None and len(held[0]):
+            ends.add(int(held[0][-1]))
+            none = pd.array([None] * len(ends), "Int64")
+            yield pd.DataFrame({"a": none, "b": none, "open": pd.array(sorted(ends), "Int64")})
 
     return run
 
 
+LINKS = "a long, b long, open long"
+
+
+def absorbed_by(links: DataFrame) -> DataFrame:
+    """``node`` of the representatives that a smaller one of their component stands for."""
+    roots = connected_components(links.select("a", "b"))
+    least = materialize(roots.groupBy("root").agg(F.min("node").alias("first")), "least").withColumnRenamed("root", "r")
+    return roots.join(least, F.col("root") == F.col("r")).where("node <> first").select("node")
+
+
+def cell_links(rows: DataFrame, radius: int, block: int) -> DataFrame:
+    """Links between all rows of ``rows(key, rep, fp)`` that share a key, whatever its size.
+
+    A key of more than ``block`` rows is dealt into blocks; each pair of blocks is a cell of about two blocks at most,
+    and a cell is the most that a task holds at once.
+    """
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), F.ceil(F.col("n") / block).alias("blocks"))
+    sized = rows.join(materialize(sizes, "sizes"), F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    paired = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))  # cells that collide are only compared in vain
+    cells = paired.select(cell.alias("key"), "rep", "fp").repartition("key").sortWithinPartitions("key", "rep")
+    return cells.mapInPandas(run_links(radius), LINKS)
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, radius: int = WIDE_RADIUS, tables: int = TABLES, window: int = WINDOW) -> DataFrame:
     """``doc_id`` of documents to drop so that one of each group of near copies stays, the smallest id.
 
     Two 64-bit fingerprints of texts of similarity 0.8 differ in about ten bits, far beyond what equal
     segments can find, so this grouping takes 512 bits over the set of five-word shingles (case and
-    punctuation aside) and links at ``radius`` or fewer differing bits, which similarity 0.8 meets.
+    punctuation aside) and links at ``radius`` or fewer differing bits, which similarity 0.8 meets in most cases.
     Chains start at equal seeds: ``tables`` segments of the fingerprint of the longer words, which a near copy
     shares more often (at similarity 0.8 a pair misses all 24 in about one of a hundred cases). Rows are range-partitioned
-    by seed and stream in order; each is compared with the ``window`` rows before it that share the seed,
-    so no seed, however common, is gathered. Null ids are never dropped; rows that repeat an id share its fate.
+    by seed and stream in order; each is compared with the ``window`` rows before it that share the seed, and all but
+    one of what is linked goes. What stays under a seed whose run was longer or cut by a partition's end is
+    then compared in full, in cells of two blocks, so that no two documents that stay share a seed and are within
+    the radius, and no seed, however common, is gathered. (A link between two documents that both go may be missed
+    where a run is longer than the window; it would join two groups whose remaining documents are no near copies.)
+    Null ids are never dropped; rows that repeat an id share its fate. An empty table drops nothing.
     """
 
     def wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,12 +309,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, radius: int = WIDE_RADIUS, tabl
                 value = bits[:, at : at + SEED_BITS] @ (1 << np.arange(SEED_BITS, dtype=np.int64))
                 yield pd.DataFrame({"key": (t << SEED_BITS) + value, "rep": pdf.rep, "fp": pdf.fp})
 
-    rows = reps.mapInPandas(keyed, "key long, rep long, fp binary")
-    rows = rows.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
-    roots = connected_components(rows.mapInPandas(window_links(radius, window), "a long, b long"))
-    least = materialize(roots.groupBy("root").agg(F.min("node").alias("first")), "least").withColumnRenamed("root", "r")
-    absorbed = roots.join(least, F.col("root") == F.col("r")).where("node <> first").select("node")
-    keep = materialize(reps.join(absorbed, F.col("rep") == F.col("node"), "left_anti").select("rep"), "keep")
+    def rows(of: DataFrame) -> DataFrame:
+        return of.mapInPandas(keyed, "key long, rep long, fp binary")
+
+    ranged = rows(reps).repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
+    links = materialize(ranged.mapInPandas(run_links(radius, window), LINKS), "links")
+    left = materialize(reps.join(absorbed_by(links), F.col("rep") == F.col("node"), "left_anti"), "left")
+    unfinished = materialize(links.where("open is not null").select("open").distinct(), "open")
+    rest = materialize(rows(left).join(unfinished, F.col("key") == F.col("open")).select("key", "rep", "fp"), "rest")
+    keep = left.join(absorbed_by(cell_links(rest, radius, window)), F.col("rep") == F.col("node"), "left_anti")
+    keep = materialize(keep.select("rep"), "keep")
     return fps.join(keep, F.col("doc_id") == F.col("rep"), "left_anti").select("doc_id")
 
 

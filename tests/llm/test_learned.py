@@ -154,6 +154,42 @@ def test_near_duplicate_stage(spark):
     assert simhash.stage(spark, df.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 3, 2048])
+def test_near_duplicates_under_common_seeds(spark, window):
+    """However small the window and however cut the runs, kept texts that share a seed are apart and groups leave one."""
+    rng = random.Random(11)
+    vocab = ["word" + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    base = [[rng.choice(vocab) for _ in range(300)] for _ in range(5)]
+    rows = []
+    for i in range(150):
+        words = list(base[i % 5])
+        if i >= 5:
+            words[rng.randrange(len(words))] = rng.choice(vocab)
+        rows.append((i, " ".join(words)))
+    # the same words in another order share each seed and no shingle
+    shuffled = [rng.sample(base[0], len(base[0])) for _ in range(40)]
+    rows += [(1000 + i, " ".join(w)) for i, w in enumerate(shuffled)]
+    gone = {r.doc_id for r in simhash.near_duplicates(frame(spark, rows).repartition(7), window=window).collect()}
+    assert {i for i, _ in rows} - gone == set(range(5)) | set(range(1000, 1040))
+
+
+def test_cells_meet_every_pair(spark):
+    """Links of a key of many blocks connect what brute force connects."""
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 2**63, (6, simhash.WIDE), dtype=np.uint64)
+    prints = []
+    for i in range(60):
+        fp = centres[i % 6].copy()
+        for b in rng.integers(0, 512, 30).tolist():
+            fp[b // 64] ^= np.uint64(1 << b % 64)
+        prints.append(fp)
+    rows = [(7 if i < 50 else 8, i, fp.tobytes()) for i, fp in enumerate(prints)]
+    df = spark.createDataFrame(rows, "key long, rep long, fp binary")
+    got = [(r.a, r.b) for r in simhash.cell_links(df, 88, 4).collect()]
+    near = [(i, j) for i in range(60) for j in range(i) if rows[i][0] == rows[j][0] and np.bitwise_count(prints[i] ^ prints[j]).sum() <= 88]
+    assert union_find(60, got) == union_find(60, near)
+
+
 # ---- op7
 
 
