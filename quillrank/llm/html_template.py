@@ -31,6 +31,8 @@ NOT_MAIN_WORDS = set(
     "subscribe newsletter share sharing social related search complementary contentinfo".split()
 )
 MAIN = {"article", "main"}
+#: Elements whose class, id or role speaks of the page ("no-sidebar", "has-ads") and not of what they hold.
+WHOLE = {"html", "body"}
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -112,7 +114,7 @@ def is_main(path: str) -> bool:
 def is_noise(path: str) -> bool:
     for e in path.split("/"):
         tag, _, marks = e.partition(".")
-        if tag in NOT_MAIN or marks and not NOT_MAIN_WORDS.isdisjoint(WORDS.findall(marks)):
+        if tag in NOT_MAIN or marks and tag not in WHOLE and not NOT_MAIN_WORDS.isdisjoint(WORDS.findall(marks)):
             return True
     return False
 

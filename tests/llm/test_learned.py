@@ -288,6 +288,11 @@ def test_very_long_page():
     assert html_template.fill_slots(page, (), ()) == " ".join(["word word"] * 20_000)
 
 
+def test_marks_of_the_whole_page_exclude_nothing():
+    page = '<html class="no-ads"><body class="has-sidebar"><article><p>Text &eacute;</p><div class="sidebar">x</div></article></body></html>'
+    assert html_template.fill_slots(page, (), ()) == "Text é"
+
+
 def test_pages_table(spark, sf_dir):
     import html
     import re
