@@ -168,7 +168,7 @@ def op6_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 # ---- wide fingerprints: grouping by shingle similarity -----------------------------------------
 
 #: Words of a wide fingerprint; the radius at which two sets of similarity 0.8 still meet; tables of seed bits.
-WIDE, WIDE_RADIUS, TABLES, SEED_BITS, WINDOW = 8, 88, 32, 24, 2048
+WIDE, WIDE_RADIUS, TABLES, SEED_BITS, WINDOW = 8, 88, 24, 24, 2048
 MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(WIDE)]
 TOKEN = re.compile(r"\w+")
 
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, radius: int = WIDE_RADIUS, tabl
     segments can find, so this grouping takes 512 bits over the set of five-word shingles (case and
     punctuation aside) and links at ``radius`` or fewer differing bits, which similarity 0.8 meets in most cases.
     Chains start at equal seeds: ``tables`` segments of the fingerprint of the longer words, which a near copy
-    shares more often (measured: one of 42 distinct pairs of similarity 0.8 to 0.85 shared none of 32, and no closer pair). Rows are range-partitioned
+    shares more often (measured: two of 42 distinct pairs of similarity 0.8 to 0.85 share none of 24, and no closer pair). Rows are range-partitioned
     by seed and stream in order; each is compared with the ``window`` rows before it that share the seed, and all but
     one of what is linked goes. What stays under a seed whose run was longer or cut by a partition's end is
     then compared in full, in cells of two blocks, so that no two documents that stay share a seed and are within
