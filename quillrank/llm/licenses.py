@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -102,39 +103,64 @@ class Templates:
                 self.pairs[self.codes[ws[k]] * len(self.codes) + self.codes[ws[k + 1]]][t].append(k)
         self.keys = np.array(sorted(self.pairs), np.int64)
 
-    def regions(self, words: list[str]) -> list[tuple[int, int, int]]:
-        """``(template, from, to)``: places where the template's word pairs follow one another in its order."""
+    def regions(self, words: list[str], least: float = COVERAGE) -> list[tuple[int, int, int]]:
+        """``(template, from, to)``: windows that may hold a place of a template; they overlap, and the alignment decides.
+
+        A place matches ``m`` of a template's ``s`` words, ``m`` and ``m / span`` at least ``least``, so at most ``s * (1 - least)`` words
+        are left out and ``s * (1 / least - 1)`` come between. Each of these parts two neighbours at most, so ``s * (3 * least - 2) - 1``
+        neighbouring pairs at least are whole, and their starts (place in the text less place in the template) lie within the sum of
+        the two. A pair that so many others of different places are near gives a window that covers any such place around it.
+        """
         code = np.fromiter((self.codes.get(w, -1) for w in words), np.int64, len(words))
         pair = np.where((code[:-1] >= 0) & (code[1:] >= 0), code[:-1] * len(self.codes) + code[1:], -1)
         seen = np.flatnonzero(np.isin(pair, self.keys)) if len(pair) else ()
-        runs: dict[int, list[list[int]]] = defaultdict(list)
+        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p in seen:
             for t, places in self.pairs[int(pair[p])].items():
-                size, last = len(self.rows[t][1]), runs[t][-1] if runs[t] else None
-                later = [k for k in places if last and k > last[3]] if last and p - last[1] <= size else []
-                if later:
-                    last[1], last[3] = int(p), later[0]
-                else:
-                    runs[t].append([int(p), int(p), places[0], places[0]])
+                hits[t] += [(int(p) - k, k) for k in places]
         out = []
-        for t, found in runs.items():
+        for t, found in hits.items():
             size = len(self.rows[t][1])
-            for n, (first, last, k0, k1) in enumerate(found):
-                low = found[n - 1][1] + 2 if n else 0
-                high = found[n + 1][0] if n + 1 < len(found) else len(words)
-                out.append((t, max(low, 0, first - k0 - 4), min(max(last + 2, high), len(words), last + size - k1 + 4)))
+            more, less = ceil(size * (1 / least - 1)), ceil(size * (1 - least))
+            need = max(1, ceil(round(size * (3 * least - 2) - 1, 6)))
+            found.sort()
+            near: Counter[int] = Counter()
+            low = high = 0
+            for n, (start, _) in enumerate(found):
+                while high < len(found) and found[high][0] <= start + more + less:
+                    near[found[high][1]] += 1
+                    high += 1
+                while found[low][0] < start - more - less:
+                    near[found[low][1]] -= 1
+                    if not near[found[low][1]]:
+                        del near[found[low][1]]
+                    low += 1
+                if len(near) >= need and (not n or found[n - 1][0] != start):
+                    tight, wide = (max(0, start - 1), min(len(words), start + size + 1)), (max(0, start - more), min(len(words), start + size + more))
+                    out += [(t, *tight), (t, *wide)]
         return out
 
 
+def densest(got: list[tuple[int, int]], size: int, least: float) -> list[tuple[int, int]]:
+    """The densest run of aligned pairs that covers ``least`` of the template, so that a stray match beside a place doesn't spoil it."""
+    best, most = [], (0.0, 0)
+    for i in range(len(got)):
+        for j in range(i + ceil(round(least * size, 6)), len(got) + 1):
+            this = ((j - i) / max(size, got[j - 1][0] + 1 - got[i][0]), j - i)
+            if this > most:
+                best, most = got[i:j], this
+    return best
+
+
 def scan(text: str | None, templates: Templates, least: float = COVERAGE) -> list[tuple[str, float, int, int, str]]:
     """``(license, coverage, start_word, end_word, excerpt)`` of the licenses a text holds, one per place."""
     spans = [m.span() for m in TOKEN.finditer((text or ""))]
     words = [(text or "")[s:e].lower() for s, e in spans]
     best = []
-    for t, lo, hi in templates.regions(words) if len(words) > 1 else ():
+    for t, lo, hi in templates.regions(words, least) if len(words) > 1 else ():
         name, wanted = templates.rows[t]
-        got = align(words[lo:hi], wanted)
-        if len(got) / len(wanted) < least:
+        got = densest(align(words[lo:hi], wanted), len(wanted), least)
+        if not got:
             continue
         first, last = lo + got[0][0], lo + got[-1][0] + 1
         density = len(got) / max(len(wanted), last - first)

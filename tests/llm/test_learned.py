@@ -398,6 +398,58 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(frame(spark, rows).limit(0)).count() == 0
 
 
+VERBATIM = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,""",
+}
+
+
+def test_verbatim_licenses():
+    known = licenses.Templates(licenses.TEMPLATES)
+    for name, text in VERBATIM.items():
+        got = licenses.scan(f"The software of the license.\n{text}\nThe copy of the software.", known)
+        assert [g[0] for g in got] == [name]
+        assert got[0][1] == 1 and got[0][4].split()[0] == text.split()[0]
+        twice = licenses.scan(f"{text} {text}", known)
+        assert [g[0] for g in twice] == [name] * 2 and twice[0][3] <= twice[1][2]
+    together = licenses.scan("\n".join(VERBATIM.values()), known)
+    assert [g[0] for g in together] == list(VERBATIM)
+
+
+def test_edited_licenses_are_found_wherever_the_edits_are():
+    rng, known = random.Random(1), licenses.Templates({"MIT": [licenses.TEMPLATES["MIT"][2]]})
+    words = licenses.TOKEN.findall(licenses.TEMPLATES["MIT"][2].lower())
+    for _ in range(100):
+        gone = set(rng.sample(range(len(words)), 4))
+        text = [w for k, w in enumerate(words) if k not in gone]
+        for _ in range(3):
+            text.insert(rng.randrange(1, len(text)), rng.choice(["x", "y", "z"]))
+        assert [g[0] for g in licenses.scan(" ".join(["of the software", *text, "to deal in the software"]), known)] == ["MIT"]
+
+
 # ---- the pipeline
 
 
