@@ -131,64 +131,75 @@ def template_tokens(page: str | None) -> dict[str, int]:
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial occurrence vectors: per host and token the pages and the sum of a hash of (page, count), in two halves."""
+    """Partial occurrence vectors: per host and token the pages, the sum of a hash of (page, count), in two halves, and the least and greatest hash of a page."""
     for pdf in batches:
-        part: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0])
+        part: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 1 << 62, -1])
         for host, key, page in zip(pdf.host, pdf.key, pdf.html, strict=True):
+            copy = xxhash.xxh64_intdigest(page or "") >> 2
             for token, n in [("", 1), *template_tokens(page).items()]:
                 h = xxhash.xxh64_intdigest(f"{key}:{n}")
                 p = part[host, token]
                 p[0] += 1
                 p[1] += h & 0x7FFFFFFF
                 p[2] += h >> 33
-        yield pd.DataFrame([(h, t, *p) for (h, t), p in part.items()], columns=["host", "token", "pages", "lo", "hi"])
+                p[3], p[4] = min(p[3], copy), max(p[4], copy)
+        yield pd.DataFrame([(h, t, *p) for (h, t), p in part.items()], columns=["host", "token", "pages", "lo", "hi", "least", "most"])
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """``host, roles, constants``: each host's template from ``pages(host, key, html)``.
+    """``host, roles, constants, closed``: each host's template from ``pages(host, key, html)``.
 
     Tokens whose occurrence vectors over the host's pages agree form an equivalence class. A vector is never
     laid out: the sum over pages of a hash of (page, count) stands for it, which combines on the map side, so that a host with
     any share of all pages is one row per token and task. A class is valid if it is in at least half of the host's
     pages (roles) or, for text, repeats in at least three. A role's path holds its enclosing roles, so
     valid classes nest by their paths; ``roles`` is that nested template in path order, and ``constants`` the fixed
-    texts in its slots.
+    texts in its slots. ``closed`` are the constants of the class of their own element, which is where it is and holds it
+    each time, so that it is no slot; a text that only copies of one page have is never closed.
     """
-    parts = pages.mapInPandas(_vectors, "host string, token string, pages long, lo long, hi long")
-    tokens = parts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    parts = pages.mapInPandas(_vectors, "host string, token string, pages long, lo long, hi long, least long, most long")
+    sums = [F.sum(c).alias(c) for c in ("pages", "lo", "hi")]
+    tokens = parts.groupBy("host", "token").agg(*sums, F.min("least").alias("least"), F.max("most").alias("most"))
     is_text = F.contains(F.col("token"), F.lit("\x00"))
     tokens = materialize(tokens.where(~is_text | (F.col("pages") >= CONSTANT_PAGES)), "tokens")
     hosts = tokens.where("token = ''").select(F.col("host").alias("h"), F.col("pages").alias("all"))
     common = tokens.where("token <> ''").join(hosts, F.col("host") == F.col("h")).where(F.col("pages") >= F.col("all") * SUPPORT)
-    classes = common.groupBy("host", "lo", "hi").agg(F.collect_list("token").alias("members"))
-    member = classes.select("host", F.explode("members").alias("token"), F.size("members").alias("size"))
-    text = F.contains(F.col("token"), F.lit("\x00"))
-    return member.groupBy("host").agg(
-        F.sort_array(F.collect_set(F.when(~text, F.col("token")))).alias("roles"),
-        F.sort_array(F.collect_set(F.when(text, F.col("token")))).alias("constants"),
+    common = common.withColumn("path", F.substring_index("token", "\x00", 1)).withColumn("copied", F.col("least") == F.col("most"))
+    elements = common.groupBy("host", "path").agg(
+        F.max(F.when(~is_text, F.struct("lo", "hi"))).alias("own"),
+        F.collect_list(F.when(is_text, F.struct("token", "lo", "hi", "copied"))).alias("texts"),
+    )
+    closed = F.filter("texts", lambda t: (t["lo"] == F.col("own.lo")) & (t["hi"] == F.col("own.hi")) & ~t["copied"])
+    return elements.withColumn("closed", closed).groupBy("host").agg(
+        F.sort_array(F.collect_list(F.when(F.col("own").isNotNull(), F.col("path")))).alias("roles"),
+        F.sort_array(F.flatten(F.collect_list(F.col("texts.token")))).alias("constants"),
+        F.sort_array(F.flatten(F.collect_list(F.col("closed.token")))).alias("closed"),
     )
 
 
-def fill_slots(page: str | None, roles, constants) -> str:
+def fill_slots(page: str | None, roles, constants, closed=()) -> str:
     """The texts of the page's main slots, in page order.
 
-    Slots are the places under the template's roles. If the template (or, where it has none, the page itself) has an article or
-    main element, its slots are the candidates, else all of the body. Slots in an element that is marked as menu, header,
-    footer, sidebar, notice, advert, form or comments are not main, nor, outside an article, fixed texts of the template.
+    If the page has an article or main element, the slots within are the candidates, else all of its body. Slots in an element that
+    is marked as menu, header, footer, sidebar, notice, advert, form or comments are not main. Fixed texts of the template
+    are left out: outside an article all, within it those that are closed and whose element says nothing else on this page.
     """
     found = nodes(page)
-    inside = any(is_main(r) for r in roles) and any(is_main(p) for _, p, _ in found)
-    inside = inside or any(k == "open" and is_main(p) for k, p, _ in found)
-    fixed = frozenset(constants)
+    inside = any(k == "open" and is_main(p) for k, p, _ in found)
+    fixed = frozenset(closed if inside else constants)
+
+    def is_fixed(path: str, text: str) -> bool:
+        plain = " ".join(text.split())
+        return f"{path}\x00{plain if len(plain) < 200 else xxhash.xxh64_hexdigest(plain)}" in fixed
+
+    filled = {p for k, p, t in found if k == "text" and not t.isspace() and not is_fixed(p, t)} if inside and fixed else ()
     said: list[str] = []
     for kind, path, text in found:
         if kind == "break":
             said.append(" ")
         elif kind == "text" and not is_noise(path) and (not inside or is_main(path)):
-            if not inside and fixed:
-                plain = " ".join(text.split())
-                if f"{path}\x00{plain if len(plain) < 200 else xxhash.xxh64_hexdigest(plain)}" in fixed:
-                    continue
+            if fixed and path not in filled and is_fixed(path, text):
+                continue
             said.append(text)
         elif kind == "open" and path.rpartition("/")[2] == "br":
             said.append(" ")
@@ -197,7 +208,7 @@ def fill_slots(page: str | None, roles, constants) -> str:
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts = [fill_slots(h, () if r is None else r, () if c is None else c) for h, r, c in zip(pdf.html, pdf.roles, pdf.constants, strict=True)]
+        texts = [fill_slots(h, (), () if c is None else c, () if k is None else k) for h, c, k in zip(pdf.html, pdf.constants, pdf.closed, strict=True)]
         yield pd.DataFrame({"page_id": pdf.page_id, "url": pdf.url, "text": texts, "n_chars": [len(t) for t in texts]})
 
 
@@ -213,7 +224,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     keyed = named.select("host", F.xxhash64("page_id", "url", "html").alias("key"), "html")
     templates = materialize(deduce_templates(keyed), "templates").withColumnRenamed("host", "h")
-    joined = named.join(templates, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "roles", "constants")
+    joined = named.join(templates, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "constants", "closed")
     schema = f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long"
     return joined.mapInPandas(_extract, schema)
 

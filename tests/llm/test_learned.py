@@ -283,6 +283,15 @@ def test_template_of_a_host_without_article(spark):
     assert "/body/div/p" in t["roles"] and any("Call us now" in c for c in t["constants"])
 
 
+def test_template_text_within_an_article(spark):
+    page = "<body><nav>Menu</nav><article><h1>Head %d</h1><div class='x7'>Read <a>all</a> our offers</div><p>Text number %d</p><p>Same</p><p class='by'>By <b>author %d</b></p></article></body>"
+    rows = [(k, "http://a.org/", page % (k, k, k)) for k in range(5)] + [(k, "http://b.org/", page % (1, 1, 1)) for k in range(10, 14)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(df).collect()}
+    assert {k: got[k] for k in range(5)} == {k: f"Head {k} Text number {k} Same By author {k}" for k in range(5)}
+    assert {got[k] for k in range(10, 14)} == {"Head 1 Read all our offers Text number 1 Same By author 1"}  # copies alone show no template
+
+
 def test_very_long_page():
     page = "<article>" + "<p>word word" * 20_000 + "<i>" * 500
     assert html_template.fill_slots(page, (), ()) == " ".join(["word word"] * 20_000)
