@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -167,8 +168,8 @@ def op6_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 # ---- wide fingerprints: grouping by shingle similarity -----------------------------------------
 
-#: Words of a wide fingerprint; the radius at which two sets of similarity 0.8 still meet; tables of seed bits.
-WIDE, WIDE_RADIUS, TABLES, SEED_BITS, WINDOW = 8, 88, 24, 24, 2048
+#: Words of a wide fingerprint; the least similarity of near copies; a radius that no two sets of that similarity exceed; rows of a block.
+WIDE, NEAR, LOOSE, WINDOW = 8, 0.8, 160, 2048
 MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(WIDE)]
 TOKEN = re.compile(r"\w+")
 
@@ -193,20 +194,30 @@ def wide_majority(h: np.ndarray) -> bytes:
     return np.packbits(total * 2 > len(h), bitorder="little").tobytes()
 
 
-def wide_pair(text: str | None, n: int) -> tuple[bytes, bytes]:
-    """The fingerprint of the set of ``n``-word shingles, and that of the set of its longer words."""
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """Hashes of the set of ``n``-word shingles in rising order, case and punctuation aside; of a shorter text, of all its words."""
     low = (text or "").lower()
     words = TOKEN.findall(low) or low.split()
     if not words:
-        return bytes(8 * WIDE), bytes(8 * WIDE)
+        return np.empty(0, np.uint64)
     codes = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64)
     span = min(n, len(codes))
     mixed = np.zeros(len(codes) - span + 1, np.uint64)
     for k in range(span):
         mixed = (mixed ^ codes[k : k + len(mixed)]) * np.uint64(0x9FB21C651E98DF25)
         mixed ^= mixed >> np.uint64(28)
-    longer = codes[np.array([len(w) > 4 for w in words])]
-    return wide_majority(np.unique(mixed)), wide_majority(np.unique(longer if len(longer) > 8 else codes))
+    return np.unique(mixed)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the sets share ``least`` of their union; exact."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) < least * len(b) - 1e-9:
+        return False
+    if not len(a):
+        return True
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
 def run_links(radius: int, window: int | None = None):
@@ -255,6 +266,36 @@ def run_links(radius: int, window: int | None = None):
 LINKS = "a long, b long, open long"
 
 
+def set_links(least: float, window: int | None = None):
+    """Links ``a, b`` between rows of one sorted run that share a key and whose sets are similar; with a window, each row meets as many before it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, root = None, [], {}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for pdf in batches:
+            out = []
+            for key, rep, raw in zip(pdf.key, pdf.rep, pdf.set, strict=True):
+                if key != last:
+                    last, held, root = key, [], {}
+                mine = np.frombuffer(raw, np.uint64)
+                root.setdefault(rep, rep)
+                for other, its in reversed(held):
+                    if find(rep) != find(other) and similar(mine, its, least):
+                        root[find(rep)] = find(other)
+                        out.append((rep, other))
+                held.append((rep, mine))
+                if window is not None and len(held) > window:
+                    del held[0]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64").assign(open=pd.array([None] * len(out), "Int64"))
+
+    return run
+
+
 def absorbed_by(links: DataFrame) -> DataFrame:
     """``node`` of the representatives that a smaller one of their component stands for."""
     roots = connected_components(links.select("a", "b"))
@@ -262,63 +303,90 @@ def absorbed_by(links: DataFrame) -> DataFrame:
     return roots.join(least, F.col("root") == F.col("r")).where("node <> first").select("node")
 
 
-def cell_links(rows: DataFrame, radius: int, block: int) -> DataFrame:
-    """Links between all rows of ``rows(key, rep, fp)`` that share a key, whatever its size.
+def cell_links(rows: DataFrame, radius: int, block: int, links=None) -> DataFrame:
+    """Links between all rows of ``rows(key, rep, fp)`` that share a key, whatever its size; ``links`` may judge other columns than ``fp``.
 
     A key of more than ``block`` rows is dealt into blocks; each pair of blocks is a cell of about two blocks at most,
     and a cell is the most that a task holds at once.
     """
+    what = [c for c in rows.columns if c not in ("key", "rep")]
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), F.ceil(F.col("n") / block).alias("blocks"))
     sized = rows.join(materialize(sizes, "sizes"), F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     paired = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))  # cells that collide are only compared in vain
-    cells = paired.select(cell.alias("key"), "rep", "fp").repartition("key").sortWithinPartitions("key", "rep")
-    return cells.mapInPandas(run_links(radius), LINKS)
-
-
-def near_duplicates(docs: DataFrame, n: int = 5, radius: int = WIDE_RADIUS, tables: int = TABLES, window: int = WINDOW) -> DataFrame:
-    """``doc_id`` of documents to drop so that one of each group of near copies stays, the smallest id.
-
-    Two 64-bit fingerprints of texts of similarity 0.8 differ in about ten bits, far beyond what equal
-    segments can find, so this grouping takes 512 bits over the set of five-word shingles (case and
-    punctuation aside) and links at ``radius`` or fewer differing bits, which similarity 0.8 meets in most cases.
-    Chains start at equal seeds: ``tables`` segments of the fingerprint of the longer words, which a near copy
-    shares more often (measured: two of 42 distinct pairs of similarity 0.8 to 0.85 share none of 24, and no closer pair). Rows are range-partitioned
-    by seed and stream in order; each is compared with the ``window`` rows before it that share the seed, and all but
-    one of what is linked goes. What stays under a seed whose run was longer or cut by a partition's end is
-    then compared in full, in cells of two blocks, so that no two documents that stay share a seed and are within
-    the radius, and no seed, however common, is gathered. (A link between two documents that both go may be missed
-    where a run is longer than the window; it would join two groups whose remaining documents are no near copies.)
+    cells = paired.select(cell.alias("key"), "rep", *what).repartition("key").sortWithinPartitions("key", "rep")
+    return cells.mapInPandas(links or run_links(radius), LINKS)
+
+
+def shared(keyed: DataFrame) -> DataFrame:
+    """``key, rep`` of the rows whose key another row has too."""
+    keyed = materialize(keyed, "keyed")
+    more = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"))
+    return materialize(keyed.join(materialize(more, "more"), F.col("key") == F.col("k")).select("key", "rep"), "shared")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, least: float = NEAR, window: int = WINDOW) -> DataFrame:
+    """``doc_id`` of documents to drop so that no two of similarity ``least`` stay; of each group the smallest id stays.
+
+    Similarity is the share of common five-word shingles (case and punctuation aside) of two texts, and is judged on the
+    whole sets. Candidates are complete: in any order of all shingles, here that of their hashes, two sets that share
+    ``least`` of their union have a common shingle among the first ``size - ceil(least * size) + 1`` of each (prefix filter).
+    First, texts with the same first shingle are compared in a sorted run, each with the rows before it, and all but one of
+    what is linked goes, so that a large group of copies is small in what follows. Then those with a common shingle in their prefixes are
+    compared by 512-bit fingerprints at a radius so wide that it only spares work: a bit of two sets of similarity 0.8 differs
+    with a chance of at most 0.19, so a pair beyond 160 bits is seven deviations out, whatever the texts are. What is linked
+    that way forms loose groups, and in these all pairs of sets are compared exactly, in cells of two blocks.
+    (A link between two documents that both go may be missed; it would join two groups whose remaining documents are no near copies.)
     Null ids are never dropped; rows that repeat an id share its fate. An empty table drops nothing.
     """
+    block = max(1, window // 8)
+
+    def digest(h: np.ndarray) -> bytes:
+        return xxhash.xxh128_digest(h.tobytes())
+
+    def prefix(h: np.ndarray) -> bytes:
+        return h[: len(h) - ceil(round(least * len(h), 6)) + 1].tobytes() if len(h) else b""
 
     def wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            both = [wide_pair(t, n) for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": [x[0] for x in both], "seed": [x[1] for x in both]})
+            sets = [shingle_set(t, n) for t in pdf.text]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "digest": [digest(h) for h in sets], "fp": [wide_majority(h) for h in sets], "prefix": [prefix(h) for h in sets]})
 
-    named = docs.where("doc_id is not null").select("doc_id", "text")
-    fps = materialize(named.mapInPandas(wide, "doc_id long, fp binary, seed binary"), "wide")
-    reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("seed").alias("seed")), "reps")
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            some = pdf[pdf.prefix.map(len) > 0]
+            yield pd.DataFrame({"key": np.array([np.frombuffer(x[:8], np.int64)[0] for x in some.prefix], np.int64), "rep": some.rep})
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": np.frombuffer(b"".join(pdf.prefix), np.int64), "rep": np.repeat(pdf.rep.to_numpy(), pdf.prefix.map(len).to_numpy() // 8)})
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(pdf.seed), np.uint8).reshape(-1, 8 * WIDE), axis=1, bitorder="little")
-            for t in range(tables):
-                at = t * (64 * WIDE - SEED_BITS) // max(1, tables - 1)
-                value = bits[:, at : at + SEED_BITS] @ (1 << np.arange(SEED_BITS, dtype=np.int64))
-                yield pd.DataFrame({"key": (t << SEED_BITS) + value, "rep": pdf.rep, "fp": pdf.fp})
+            sets = [shingle_set(t, n) for t in pdf.text]
+            same = np.array([digest(h) == d for h, d in zip(sets, pdf.digest, strict=True)], bool)  # an id may have several texts
+            yield pd.DataFrame({"key": pdf.key, "rep": pdf.rep, "set": [h.tobytes() for h in sets]})[same]
+
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    fps = materialize(named.mapInPandas(wide, "doc_id long, digest binary, fp binary, prefix binary"), "wide")
+    reps = fps.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"))
+    # an id with several texts is one representative per text
+    reps = materialize(reps, "reps")
 
-    def rows(of: DataFrame) -> DataFrame:
-        return of.mapInPandas(keyed, "key long, rep long, fp binary")
+    def with_sets(of: DataFrame) -> DataFrame:
+        known = of.join(reps.select(F.col("rep").alias("r"), "digest"), F.col("rep") == F.col("r")).select("key", "rep", "digest")
+        return named.join(known, F.col("doc_id") == F.col("rep")).select("key", "rep", "digest", "text").mapInPandas(filled, "key long, rep long, set binary")
 
-    ranged = rows(reps).repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
-    links = materialize(ranged.mapInPandas(run_links(radius, window), LINKS), "links")
+    run = with_sets(shared(reps.select("rep", "prefix").mapInPandas(first, "key long, rep long"))).repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    links = materialize(run.mapInPandas(set_links(least, block), LINKS), "links")
     left = materialize(reps.join(absorbed_by(links), F.col("rep") == F.col("node"), "left_anti"), "left")
-    unfinished = materialize(links.where("open is not null").select("open").distinct(), "open")
-    rest = materialize(rows(left).join(unfinished, F.col("key") == F.col("open")).select("key", "rep", "fp"), "rest")
-    keep = left.join(absorbed_by(cell_links(rest, radius, window)), F.col("rep") == F.col("node"), "left_anti")
-    keep = materialize(keep.select("rep"), "keep")
+    rows = shared(left.select("rep", "prefix").mapInPandas(each, "key long, rep long"))
+    rows = rows.join(left.select(F.col("rep").alias("r"), "fp"), F.col("rep") == F.col("r")).select("key", "rep", "fp")
+    loose = materialize(cell_links(rows, LOOSE, window), "loose")
+    grouped = materialize(connected_components(loose.select("a", "b")).select(F.col("root").alias("key"), F.col("node").alias("rep")), "grouped")
+    exact = materialize(cell_links(materialize(with_sets(grouped), "sets"), 0, block, set_links(least)), "exact")
+    keep = left.join(absorbed_by(exact), F.col("rep") == F.col("node"), "left_anti")
+    keep = materialize(keep.select("rep").distinct(), "keep")
     return fps.join(keep, F.col("doc_id") == F.col("rep"), "left_anti").select("doc_id")
 
 

@@ -173,6 +173,28 @@ def test_near_duplicates_under_common_seeds(spark, window):
     assert {i for i, _ in rows} - gone == set(range(5)) | set(range(1000, 1040))
 
 
+def test_near_duplicates_of_block_edits_and_appended_text(spark):
+    """Kept texts are below 0.8 of common five-word shingles, whatever the edit; a group leaves its smallest id."""
+    rng = random.Random(5)
+    vocab = ["word" + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    rows, near = [], set()
+
+    def shingles(words):
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    for i in range(120):
+        words = [rng.choice(vocab) for _ in range((200, 600)[i % 2])]
+        more = [rng.choice(vocab) for _ in range(int(len(words) * rng.uniform(0.05, 0.28)))]
+        at = rng.randrange(len(words) - len(more))
+        copy = words + more if i % 3 else words[:at] + more[: len(more) // 2] + words[at + len(more) // 2 :]
+        a, b = shingles(words), shingles(copy)
+        if len(a & b) >= 0.8 * len(a | b):
+            near.add(1000 + i)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(copy))]
+    gone = {r.doc_id for r in simhash.near_duplicates(frame(spark, rows).repartition(5)).collect()}
+    assert 40 < len(near) < 120 and gone == near
+
+
 def test_cells_meet_every_pair(spark):
     """Links of a key of many blocks connect what brute force connects."""
     rng = np.random.default_rng(2)
