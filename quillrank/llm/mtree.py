@@ -19,6 +19,8 @@ K, EVERY, SCALE = 5, 50, 256.0
 PAGE, BLOCK, LEAVES, PER_LEAF = 512, 256, 256, 512
 SAMPLE = 2048
 SLACK = 1e-6
+#: Lengths that have an index at least; of other lengths the vectors, and the numbers in them, that one task scans.
+TREES, SCANNED, NUMBERS = 8, 4096, 1 << 20
 
 
 def quantize(v: Column, scale: float = SCALE) -> Column:
@@ -230,6 +232,25 @@ def top_k_of_dim(base: DataFrame, queries: DataFrame, dim: int, k: int) -> DataF
     return found
 
 
+def scan_all(k: int, every: int):
+    """The ``k`` best ids of each query of a length that has few vectors, by all products."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, vecs, out = pdf.vec_id.to_numpy(), np.stack([np.asarray(v, np.int64) for v in pdf.v]), []
+        for at in np.flatnonzero(ids % every == 0).tolist():
+            score = vecs @ vecs[at]
+            best: dict[int, int] = {}
+            for j in np.lexsort((ids, -score)).tolist():
+                if ids[j] != ids[at]:
+                    best.setdefault(int(ids[j]), int(score[j]))
+                if len(best) == k:
+                    break
+            out += [(int(ids[at]), i, x) for i, x in best.items()]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+
+    return run
+
+
 def m_tree_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCALE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` greatest integer inner products of each query, exact.
 
@@ -244,16 +265,23 @@ def m_tree_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: floa
     waves. The leaf a query belongs to gives its k-th distance; the other leaves are visited only where the
     lower bound from radii and stored parent distances is within it, and inside a page the stored distances
     exclude vectors before any product is computed. Queries travel in blocks; no pair of rows is shuffled.
+    The ``TREES`` most common lengths, and any with more than ``SCANNED`` vectors or ``NUMBERS`` numbers, have an index; all others are scanned in one pass.
     """
     spark = vectors.sparkSession
     base = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", quantize(F.col("embedding"), scale).alias("v")).distinct()
     base = materialize(base, "vectors")
-    dims = [r[0] for r in base.select(F.size("v")).distinct().limit(1000).collect()]
+    sizes = base.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()
+    common = sorted(sizes, key=lambda r: -r["n"])[:TREES]
+    trees = sorted(r["dim"] for r in sizes if r in common or r["n"] > SCANNED or r["n"] * r["dim"] > NUMBERS)
     found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    for dim in sorted(dims):
+    for dim in trees:
         mine = base.where(F.size("v") == dim)
         asked = mine.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
         found = found.union(top_k_of_dim(mine, asked, dim, k))
+    if len(trees) < len(sizes):
+        rare = spark.createDataFrame([(d,) for d in sorted({r["dim"] for r in sizes} - set(trees))], "dim int")
+        some = base.withColumn("size", F.size("v")).join(rare, F.col("size") == F.col("dim")).select("dim", "vec_id", "v")
+        found = found.union(some.groupBy("dim").applyInPandas(scan_all(k, every), "query_id long, vec_id long, score long"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -364,6 +364,22 @@ def test_top_k(spark, tmp_path, monkeypatch):
     assert mtree.m_tree_top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_more_lengths_than_a_thousand(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(50 * i + j, [float(x) for x in rng.integers(-3, 4, size=i)]) for i in range(1, 1101) for j in (0, 0, 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(mtree, "TREES", 0, raising=False)
+    got = sorted(tuple(r) for r in mtree.m_tree_top_k(df, k=2).select("query_id", "rank", "vec_id", "score").collect())
+    vecs = {}
+    for i, v in rows:
+        vecs.setdefault((len(v), i), []).append(np.floor(256 * np.array(v)).astype(np.int64))
+    want = []
+    for d in range(1, 1101):
+        best = {j: max(int(a @ b) for a in vecs[d, 50 * d] for b in vecs[d, 50 * d + j]) for j in (1, 2)}
+        want += [(50 * d, n + 1, 50 * d + j, best[j]) for n, j in enumerate(sorted(best, key=lambda j: (-best[j], j)))]
+    assert got == sorted(want)
+
+
 # ---- op8
 
 
