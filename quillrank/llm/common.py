@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read and not a recomputation, and gives
@@ -38,6 +38,8 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -300,9 +300,32 @@ def test_template_of_a_host_without_article(spark):
     page = "<body><div class='top'>Welcome to our site</div><div><p>Body text number %d is here</p></div><div>Call us now</div></body>"
     df = spark.createDataFrame([(k, "http://s.org/", page % k) for k in range(5)], "page_id long, url string, html string")
     assert {r["text"] for r in html_template.extract_main_text(df).collect()} == {f"Body text number {k} is here" for k in range(5)}
-    keyed = df.select(F.lit("s.org").alias("host"), "page_id", "html").select("host", F.xxhash64("page_id").alias("key"), "html")
-    t = html_template.deduce_templates(keyed).first()
-    assert "/body/div/p" in t["roles"] and any("Call us now" in c for c in t["constants"])
+
+
+def alone(page):
+    """A page's text by its own template."""
+    parsed = html_template.parse(page)
+    blocks = parsed.blocks()
+    main, drop = html_template.choose(html_template.slots_of(parsed, blocks))
+    under = lambda role, top: role == top or role.startswith(top + "/")
+    return " ".join(t for r, t, _ in blocks if under(r, main) and not any(under(r, d) for d in drop))
+
+
+def test_the_template_decides(spark):
+    """Pages without telling tags or class names: a long banner that repeats, texts from a pool, and a short article."""
+    page = "<body><div>A long banner says the same on each page of this host, whatever the page is about</div><div><div><h2>Head {0}</h2>Article {0} {1}</div><div>Offer of the week: {2}</div></div></body>"
+    rows = [(k, "http://t.org/", page.format(k, "word " * (k + 4), ("shoes and boots", "hats")[k % 2])) for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(df).collect()}
+    assert got == {k: f"Head {k} Article {k} {'word ' * (k + 4)}".strip() for k in range(8)}
+    assert all(alone(h) != got[k] for k, _, h in rows)  # without the host's template the banner is taken for text
+
+
+def test_a_page_without_its_hosts_main_slot(spark):
+    rows = [(k, "http://a.org/", f"<body><article><p>Text {k} of some length</p></article></body>") for k in range(4)] + [(9, "http://a.org/x", "<body><div>Another layout</div></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.extract_main_text(df).collect()}
+    assert got == {k: f"Text {k} of some length" for k in range(4)} | {9: "Another layout"}
 
 
 def test_template_text_within_an_article(spark):
@@ -314,14 +337,25 @@ def test_template_text_within_an_article(spark):
     assert {got[k] for k in range(10, 14)} == {"Head 1 Read all our offers Text number 1 Same By author 1"}  # copies alone show no template
 
 
-def test_very_long_page():
-    page = "<article>" + "<p>word word" * 20_000 + "<i>" * 500
-    assert html_template.fill_slots(page, (), ()) == " ".join(["word word"] * 20_000)
-
-
-def test_marks_of_the_whole_page_exclude_nothing():
-    page = '<html class="no-ads"><body class="has-sidebar"><article><p>Text &eacute;</p><div class="sidebar">x</div></article></body></html>'
-    assert html_template.fill_slots(page, (), ()) == "Text é"
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout has-sidebar"><article><p>one two</p></article><div class="sidebar">x</div></div>', "one two"),
+        ('<div id="page" class="no-ads"><main><p>text</p></main></div>', "text"),
+        ("<article><header><h1>Title</h1><nav>menu</nav></header><p>body</p><footer>by</footer></article>", "Title body"),
+        ('<article><div class="social-science">about it</div><p>body</p><div class="social-share">tell</div></article>', "about it body"),
+        ('<div><h1>T</h1><p>The post</p></div><section id="comments"><article><p>a reader says so</p></article></section>', "T The post"),
+        ('<div><h1>T</h1><p>The post</p></div><article class="comment">a reader says so</article>', "T The post"),
+        ('<form id="f"><nav>x</nav><div class="content"><h1>T</h1><p>The post</p></div><form>q</form></form>', "T The post"),
+        ('<article><p>a</p><form>search <input></form><aside>more</aside><p>b <span class="ad">buy</span>c</p></article>', "a b c"),
+        ('<html class="no-ads"><body class="has-sidebar"><article><p>Text &eacute;</p><div class="sidebar">x</div></article></body></html>', "Text \u00e9"),
+        ("<article>" + "<p>word word" * 20_000 + "<i>" * 500, " ".join(["word word"] * 20_000)),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<article><p>a</p><div class='w-1/2 " + "long " * 500 + "'>b</div></article>", "a b"),
+    ],
+)
+def test_marks_and_shapes(page, text):
+    assert alone(page) == text
 
 
 def test_pages_table(spark, sf_dir):
