@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import bm25_idf, bm25_weight
 from ..functions.text import tokenize
+from ..sources.scratch import materialize
+
+
+#: Documents of a shard at least and at most, and impressions of a block, of retrieval.
+SHARD, SHARD_MOST, ASKED = 1024, 16_384, 8192
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -15,29 +22,33 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("article_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("term", "article_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_lengths(docs: DataFrame) -> DataFrame:
-    """``article_id, length``; documents without a term count with length 0."""
-    return docs.select("article_id", F.size(tokenize(F.col("text"))).alias("length"))
-
-
 def corpus_stats(docs: DataFrame) -> DataFrame:
-    """One row: the number of documents and their mean length, 1 at least."""
-    return doc_lengths(docs).agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean_length"))
+    """One row: the number of documents and their mean length, 1 at least; documents without a term count with length 0."""
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg(F.size(tokenize(F.col("text")))), F.lit(1.0)).alias("mean_length"))
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
-    """``term, df, idf``."""
-    df = postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = corpus_stats(docs).select("n_docs")
+    """``term, df, idf``. A document counts once for a term, so terms meet their frequency without their documents."""
+    df = docs.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", bm25_idf(F.col("n_docs"), F.col("df")).alias("idf"))
 
 
 def weighted_postings(docs: DataFrame) -> DataFrame:
-    """``term, article_id, weight``: what each posting adds to a score, so that the query join only sums."""
-    lengths = docs.select("article_id", tokenize(F.col("text")).alias("ts"))
-    tf = lengths.select("article_id", F.size("ts").alias("length"), F.explode("ts").alias("term")).groupBy("term", "article_id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs)))
+    """``term, article_id, weight``: what each posting adds to a score, so that a query only sums.
+
+    Texts are tokenized once: a document's terms and counts are written as one narrow row, from which length, frequencies and postings come. An id is one document.
+    """
+    listed = docs.select("article_id", F.array_sort(tokenize(F.col("text"))).alias("ts")).withColumn("length", F.size("ts"))
+    # in a sorted list a term's count is the distance between the places where it and the next one start
+    places = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
+    started = listed.withColumn("at", F.when(F.col("length") > 0, places).otherwise(F.array().cast("array<int>")))
+    tf = F.transform("at", lambda i, n: F.struct(F.get("ts", i).alias("term"), (F.coalesce(F.get("at", n + 1), F.col("length")) - i).cast("long").alias("tf")))
+    counted = materialize(started.select("article_id", "length", tf.alias("tf")), "terms")
+    flat = counted.select("article_id", "length", F.explode("tf").alias("t")).select("t.term", "article_id", "length", "t.tf")
+    df = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = counted.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean_length"))
+    joined = flat.join(df, "term").crossJoin(F.broadcast(stats))
     idf = bm25_idf(F.col("n_docs"), F.col("df"))
     return joined.select("term", "article_id", bm25_weight(idf, F.col("tf"), F.col("length"), F.col("mean_length")).alias("weight"))
 
@@ -65,9 +76,73 @@ def candidate_scores(candidates: DataFrame, terms: DataFrame, weighted: DataFram
     return candidates.select(*keys, "pos", "article_id").join(sums, [*keys, "pos", "article_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def _score_shard(keys: list[str], k: int):
+    """The best ``k`` documents of one shard for each query of one block."""
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c: [] for c in [*keys, "article_id", "score"]})
+        if not len(asked) or not len(held):
+            return none
+        ids, doc = np.unique(held.article_id.to_numpy(), return_inverse=True)
+        order = np.argsort(held.term.to_numpy(), kind="stable")
+        term, doc, weight = held.term.to_numpy()[order], doc[order], held.weight.to_numpy()[order]
+        number = asked.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        first = asked.assign(_n=number)[asked.pos == 0].sort_values("_n").reset_index(drop=True)  # a row per query, in the order of their numbers
+        low, high = np.searchsorted(term, asked.term.to_numpy(), "left"), np.searchsorted(term, asked.term.to_numpy(), "right")
+        hit = high > low
+        by = np.argsort(number[hit], kind="stable")
+        number, low, high = number[hit][by], low[hit][by], high[hit][by]
+        ends = np.searchsorted(number, np.arange(len(first) + 1))
+        total, rows, places = np.zeros(len(ids)), [], []
+        for q in range(len(first)):
+            a, b = ends[q], ends[q + 1]
+            if a == b:
+                continue
+            total[:] = 0
+            for n in range(a, b):
+                total[doc[low[n] : high[n]]] += weight[low[n] : high[n]]
+            score, seen = np.round(total, 6), first.seen[q]
+            if seen is not None and len(seen):
+                total[np.isin(ids, seen)] = 0
+            found = np.flatnonzero(total > 0)
+            if len(found) > k:
+                least = np.partition(score[found], -k)[-k]
+                found = found[score[found] >= least]
+                found = found[np.lexsort((ids[found], -score[found]))[:k]]
+            rows.append(np.full(len(found), q))
+            places.append((found, score[found]))
+        if not rows:
+            return none
+        q = np.concatenate(rows)
+        out = {c: first[c].to_numpy()[q] for c in keys}
+        return pd.DataFrame(out | {"article_id": ids[np.concatenate([p for p, _ in places])], "score": np.concatenate([x for _, x in places])})
+
+    return run
+
+
 def retrieve(terms: DataFrame, weighted: DataFrame, history: DataFrame, keys: list[str], k: int = 200) -> DataFrame:
-    """``keys, article_id, score, rank``: the ``k`` best of the corpus; articles of the history are left out."""
-    sums = terms.join(weighted, "term").groupBy(*keys, "article_id").agg(F.round(F.sum("weight"), 6).alias("score"))
-    fresh = sums.join(history.select(*keys, "article_id").distinct(), [*keys, "article_id"], "left_anti")
+    """``keys, article_id, score, rank``: the ``k`` best of the corpus; articles of the history are left out.
+
+    Documents are dealt to shards and queries to blocks; a cell of the two is summed in one place and sends on its best ``k`` per query, so
+    what is shuffled after scoring is ``k`` rows per query and shard, never a row per query and matching document. Postings of terms that no query
+    asks for fall away first. Terms travel as 64-bit hashes.
+    """
+    spark = terms.sparkSession
+    asked = terms.groupBy(*keys).agg(F.collect_set(F.xxhash64("term")).alias("_terms"))
+    seen = history.select(*keys, "article_id").distinct().groupBy(*keys).agg(F.collect_list("article_id").alias("seen"))
+    asked = materialize(asked.join(seen, keys, "left").withColumn("query", F.xxhash64(*keys)), "asked")
+    wanted = asked.select(F.explode("_terms").alias("term")).distinct()
+    held = weighted.select(F.xxhash64("term").alias("term"), "article_id", "weight").join(wanted, "term", "left_semi")
+    held = materialize(held, "postings")
+    docs = held.agg(F.approx_count_distinct("article_id")).first()[0]
+    size = min(SHARD_MOST, max(SHARD, docs // (4 * spark.sparkContext.defaultParallelism)))
+    shards, blocks = max(1, -(-docs // size)), max(1, -(-asked.count() // ASKED))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = asked.select(*keys, "query", "seen", F.pmod("query", F.lit(blocks)).cast("int").alias("block"), every(shards, "shard"), "_terms")
+    left = left.select(*keys, "seen", "block", "shard", F.posexplode("_terms").alias("pos", "term")).withColumn("seen", F.when(F.col("pos") == 0, F.col("seen")))
+    right = held.select("*", F.pmod(F.xxhash64("article_id"), F.lit(shards)).cast("int").alias("shard"), every(blocks, "block"))
+    types = dict(terms.dtypes) | dict(weighted.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in keys), f"article_id {types['article_id']}", "score double"])
+    near = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_score_shard(keys, k), schema)
     w = W.partitionBy(*keys).orderBy(F.desc("score"), "article_id")
-    return fresh.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -17,18 +17,12 @@ def auc_on_scores(scored: DataFrame, keys: list[str]) -> DataFrame:
 
     Mid-ranks in one window replace the comparison of all pairs.
     """
-    w = W.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(w.partitionBy(*keys, "score"))
-    mid = F.rank().over(W.partitionBy(*keys).orderBy("score")) + (ties - 1) / 2
-    g = scored.withColumn("_mid", mid).groupBy(*keys).agg(F.sum(F.col("_mid") * F.col("y")).alias("s"), F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    value = F.when(F.col("p") * F.col("n") > 0, (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n")))
-    return g.select(*keys, F.round(value, 6).alias("auc"))
+    return per_impression(scored.withColumn("rank", F.lit(1)), keys, ()).select(*keys, "auc")
 
 
 def auc_on_ranks(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, auc`` of the rank permutation, which has no ties; 0 if one class is empty."""
-    by_rank = ranked.withColumn("score", -F.col("rank"))
-    return auc_on_scores(by_rank, keys).withColumn("auc", F.coalesce("auc", F.lit(0.0)))
+    return auc_on_scores(ranked.withColumn("score", -F.col("rank")), keys).withColumn("auc", F.coalesce("auc", F.lit(0.0)))
 
 
 def mrr(ranked: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,10 +100,14 @@ def coverage(ranked: DataFrame, catalog_size: DataFrame, k: int = 10) -> DataFra
     return seen.crossJoin(F.broadcast(catalog_size)).select("covered", "catalog", F.round(F.col("covered") / F.greatest("catalog", F.lit(1)), 6).alias("coverage"))
 
 
+def by_slice(values: DataFrame, n_history: DataFrame, keys: list[str]) -> DataFrame:
+    """``values`` twice: once in the slice of all and once in that of cold or warm impressions."""
+    bucket = F.when(F.coalesce("n_history", F.lit(0)) < COLD_BELOW, COLD).otherwise(WARM)
+    return values.join(n_history, keys, "left").select(*values.columns, F.explode(F.array(F.lit(ALL), bucket)).alias("slice"))
+
+
 def slices(values: DataFrame, n_history: DataFrame, keys: list[str], metrics: list[str], by: list[str]) -> DataFrame:
     """``by, slice, metric, n, value``: means over all, cold and warm impressions; null values are left out of a mean."""
-    bucket = F.when(F.coalesce("n_history", F.lit(0)) < COLD_BELOW, COLD).otherwise(WARM)
-    long = values.join(n_history, keys, "left").select(
-        *by, F.explode(F.array(F.lit(ALL), bucket)).alias("slice"), F.expr(f"stack({len(metrics)}, {', '.join(f'{m!r}, cast({m} as double)' for m in metrics)}) as (metric, v)")
-    )
+    stack = F.expr(f"stack({len(metrics)}, {', '.join(f'{m!r}, cast({m} as double)' for m in metrics)}) as (metric, v)")
+    long = by_slice(values, n_history, keys).select(*by, "slice", stack)
     return long.groupBy(*by, "slice", "metric").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("value"))

@@ -106,11 +106,11 @@ def user_vectors(history: DataFrame, vectors: DataFrame, keys: list[str], decay:
 
 
 def semantic(candidates: DataFrame, history: DataFrame, vectors: DataFrame, keys: list[str], decay: float = 1.0, last: int | None = None) -> DataFrame:
-    """Cosine of the user's and the article's vector; 0 where either is missing."""
+    """Cosine of the user's and the article's vector; 0 where either is missing or the product isn't a finite number."""
     users = user_vectors(history, vectors, keys, decay, last)
     joined = candidates.join(vectors.select("article_id", "vector"), "article_id", "left").join(users, keys, "left")
     cos = dot(doubles(F.col("vector")), F.col("user_vector"))
-    return joined.select(*keys, "pos", "article_id", F.coalesce(cos, F.lit(0.0)).alias("score"))
+    return joined.select(*keys, "pos", "article_id", F.when(~F.isnan(cos) & (F.abs(cos) != float("inf")), cos).otherwise(0.0).alias("score"))
 
 
 def hybrid(candidates: DataFrame, history: DataFrame, articles: DataFrame, vectors: DataFrame, clicks: DataFrame, keys: list[str]) -> DataFrame:

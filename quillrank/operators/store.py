@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import labelled_items, recency_weights, split_items
-from ..sources.readers import BEHAVIORS, MISSING, NEWS, TIME_FORMAT, first_existing, read_tsv
+from ..sources.readers import BEHAVIORS, MISSING, NEWS, PLACE, TIME_FORMAT, first_existing, read_tsv
 
 
 def dedup(df: DataFrame, keys: list[str], order: list, keep: str = "first") -> DataFrame:
@@ -31,17 +31,18 @@ def temporal_split(df: DataFrame, ts: str, validation_days: int = 1, test_days:
     return df.crossJoin(F.broadcast(latest)).withColumn("split", split).drop("_latest")
 
 
-def manifest(df: DataFrame) -> DataFrame:
-    return df.where("split is not null").groupBy("split").agg(F.count(F.lit(1)).alias("impressions"))
+def manifest(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return df.where("split is not null").groupBy(*by, "split").agg(F.count(F.lit(1)).alias("impressions"))
 
 
 def tsv_articles(spark, path: str, split: str, dataset: str = "mind") -> DataFrame:
-    df = read_tsv(spark, path, NEWS, MISSING)
+    """Articles with their places in the file."""
+    df = read_tsv(spark, path, NEWS, MISSING, places=True)
     entities = F.concat(F.coalesce("title_entities", F.lit("")), F.lit(" "), F.coalesce("abstract_entities", F.lit("")))
     return df.select(
         F.lit(dataset).alias("dataset"), F.lit(split).alias("source_split"), "article_id", F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("abstract", F.lit("")).alias("abstract"), F.lit("").alias("body"), "category", entities.alias("entities"),
-        F.lit(False).alias("embedding_available"), F.lit(None).cast("string").alias("embedding_path"),
+        F.lit(False).alias("embedding_available"), F.lit(None).cast("string").alias("embedding_path"), *PLACE,
     )
 
 
@@ -62,16 +63,21 @@ def parquet_articles(df: DataFrame, split: str, dataset: str = "ebnerd") -> Data
     return df.select(
         F.lit(dataset).alias("dataset"), F.lit(split).alias("source_split"), F.col("article_id").cast("string").alias("article_id"), text(["title"]).alias("title"),
         text(["subtitle", "abstract"]).alias("abstract"), text(["body"]).alias("body"), first_existing(df, ["category_str", "category"]).cast("string").alias("category"),
-        entities.alias("entities"), F.lit(False).alias("embedding_available"), F.lit(None).cast("string").alias("embedding_path"),
+        entities.alias("entities"), F.lit(False).alias("embedding_available"), F.lit(None).cast("string").alias("embedding_path"), *[c for c in PLACE if c in df.columns],
     )
 
 
 def parquet_impressions(behaviors: DataFrame, history: DataFrame, split: str, dataset: str = "ebnerd") -> DataFrame:
-    """Behaviors with the user's history; users without one have an empty list, of repeated users the last counts."""
+    """Behaviors with the user's history; users without one have an empty list, of repeated users the last counts.
+
+    The last is that of the greatest place, if ``history`` was read ``with_place``; else the last in the order of its partitions.
+    """
     ids = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: x.cast("string"))
-    past = first_existing(history, ["article_id_fixed", "article_ids"])
-    numbered = history.select(F.col("user_id").alias("_user"), past.alias("_past"), F.monotonically_increasing_id().alias("_ord"))
-    last = dedup(numbered, ["_user"], ["_ord"], keep="last").drop("_ord")
+    past = first_existing(history, ["article_id_fixed", "article_id"])
+    order = [c for c in PLACE if c in history.columns]
+    placed = history if order else history.withColumn("src_row", F.monotonically_increasing_id())
+    order = order or ["src_row"]
+    last = dedup(placed.select(F.col("user_id").alias("_user"), past.alias("_past"), *order), ["_user"], order, keep="last").drop(*order)
     joined = behaviors.join(last, F.col("user_id") == F.col("_user"), "left")
     return joined.select(
         F.lit(dataset).alias("dataset"), F.lit(split).alias("source_split"), F.col("impression_id").cast("string").alias("impression_id"), F.col("user_id").cast("string").alias("user_id"),

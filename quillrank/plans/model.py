@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 from ..operators import rankers
 from ..operators.store import temporal_split
+from ..sources.scratch import materialize
 
 IMP = ["user_id", "w"]
 BUCKET_US = 259_200_000_000
@@ -76,20 +77,20 @@ class Model:
         seen = self.events.groupBy("article_id").agg(F.min("ts").alias("published"))
         title = F.substring("text", 1, 80)
         docs = self.table("documents").select(
-            F.col("doc_id").alias("article_id"), title.alias("title"), F.substring("text", 81, 400).alias("abstract"), F.col("lang").alias("category"), F.col("source").alias("subcategory"),
+            F.col("doc_id").alias("article_id"), title.alias("title"), F.expr("substring(text, 81)").alias("abstract"), F.col("lang").alias("category"), F.col("source").alias("subcategory"),
             F.slice(F.array_distinct(tokenize(title)), 1, 5).alias("topics"),
         )
         return docs.join(seen, "article_id", "left")
 
     @cached_property
     def texts(self) -> DataFrame:
-        """``article_id, text``: what the lexical index holds of each article."""
-        return self.articles.select("article_id", F.concat_ws(" ", "title", "abstract").alias("text"))
+        """``article_id, text``: what the lexical index holds of each article, its whole text."""
+        return self.table("documents").select(F.col("doc_id").alias("article_id"), "text")
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """``article_id, vector``; ids 60 to 99 are left out, so that some items have none."""
-        return self.table("embeddings").where("vec_id < 60 or vec_id >= 100").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
+        """``article_id, vector``."""
+        return self.table("embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
 
     @cached_property
     def times(self) -> DataFrame:
@@ -97,7 +98,20 @@ class Model:
 
     @cached_property
     def n_history(self) -> DataFrame:
-        return self.history.groupBy(*IMP).agg(F.count(F.lit(1)).alias("n_history"))
+        """``user_id, w, n_history``: clicks before the impression, counted in one run over the user's events in time order."""
+        clicks = self.events.where("event_type = 'click'").select("user_id", F.lit(None).cast("long").alias("w"), "ts", F.lit(1).alias("c"))
+        both = clicks.unionByName(self.impressions.select("user_id", "w", F.col("t0").alias("ts"), F.lit(0).alias("c")))
+        before = W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(W.unboundedPreceding, -1)
+        counted = both.withColumn("n_history", F.sum("c").over(before)).where("c = 0 and n_history > 0")
+        return counted.select(*IMP, "n_history")
+
+    @cached_property
+    def stored(self) -> Model:
+        """The model with the tables that several methods read written once."""
+        out = Model(self.spark, self.sf_dir)
+        for name in ("validation", "past", "clicks", "articles"):
+            out.__dict__[name] = materialize(getattr(self, name), name)
+        return out
 
     def labelled(self, scored: DataFrame) -> DataFrame:
         """Ranked scores with labels, of the impressions that have a click."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,9 @@ from ..functions.scores import doubles, unit
 from ..functions.text import entity_ids, labelled_items, newest, recency_weights, tokenize
 from ..operators import bm25, bootstrap, metrics, profiling, rankers, validation, vectors
 from ..operators.store import dedup, manifest
-from ..sources.writers import rank_lines
+from ..sources.readers import PLACE, file_profile, read_lines, read_tsv, read_vectors, with_place
+from ..sources.scratch import materialize, scratch_path
+from ..sources.writers import rank_lines, write_store, write_submission, written_lines
 from ..streaming.popularity import stream_popularity
 from .model import IMP, Model
 from .sql import SQL  # noqa: F401
@@ -45,7 +45,7 @@ def store_split_counts(m: Model) -> DataFrame:
 
 @query
 def store_articles(m: Model) -> DataFrame:
-    return m.articles.select("article_id", "category", "subcategory", F.length("title").cast("long").alias("title_chars"), F.array_join("topics", ",").alias("topics"), "published")
+    return m.articles.select("article_id", "category", "subcategory", F.length("title").cast("long").alias("title_chars"), F.length("abstract").cast("long").alias("abstract_chars"), F.array_join("topics", ",").alias("topics"), "published")
 
 
 def _two_splits(m: Model) -> DataFrame:
@@ -105,7 +105,7 @@ def popularity_click_counts(m: Model) -> DataFrame:
 
 @query
 def stream_popularity_counts(m: Model) -> DataFrame:
-    return stream_popularity(m.spark, f"{m.sf_dir}/events.parquet", tempfile.mkdtemp() if not (d := m.spark.conf.get("spark.checkpoint.dir", None)) else f"{d}/{tempfile.mktemp(dir='')}", F.get_json_object("props", "$.k").cast("long"))
+    return stream_popularity(m.spark, f"{m.sf_dir}/events.parquet", scratch_path(m.spark, "stream"), F.get_json_object("props", "$.k").cast("long"))
 
 
 @query
@@ -175,6 +175,101 @@ def validate_permutation(m: Model) -> DataFrame:
     return validation.validate_lines(lines.withColumn("line", broken), sizes, "user_id", IMP)
 
 
+@query
+def validate_order(m: Model) -> DataFrame:
+    """Lists written in source order, every tenth user's among them under a wrong id, read back and held against the source."""
+    source = m.validation.groupBy(*IMP).agg(F.count(F.lit(1)).alias("n_candidates")).join(m.impressions.select(*IMP, "t0"), IMP)
+    line = F.when(F.col("user_id") % 10 == 0, F.concat(F.lit("x"), F.col("line"))).otherwise(F.col("line"))
+    lines = submission_lines(m).withColumn("line", line).join(source.select(*IMP, "t0"), IMP)
+    folder = scratch_path(m.spark, "submission")
+    write_submission(lines, ["t0", *IMP], folder)
+    return validation.validate_order(written_lines(m.spark, folder), PLACE, source.withColumn("id", F.col("user_id")), ["t0", *IMP])
+
+
+# ---- files: what is written in a format and read back
+
+
+@query
+def tsv_round_trip(m: Model) -> DataFrame:
+    """Behaviors as a headerless file: typed columns, a missing value and the place of each row."""
+    rows = m.events.select(F.concat_ws("\t", "event_id", "user_id", F.when(F.col("event_type") == "view", "NA").otherwise(F.col("event_type")), "article_id").alias("line"), "event_id")
+    folder = scratch_path(m.spark, "tsv")
+    write_submission(rows, ["event_id"], folder)
+    back = read_tsv(m.spark, folder, "event_id long, user_id long, event_type string, article_id long", ["NA"], places=True)
+    return validation.numbered(back, PLACE).select("idx", "event_id", "user_id", "event_type", "article_id")
+
+
+@query
+def field_guard(m: Model) -> DataFrame:
+    """Lines of three fields or four; those of four alone are read."""
+    rows = m.events.select(F.concat_ws("\t", "event_id", "user_id", "event_type", F.when(F.col("event_id") % 3 > 0, F.col("article_id"))).alias("line"), "event_id")
+    folder = scratch_path(m.spark, "lines")
+    write_submission(rows, ["event_id"], folder)
+    parts = read_lines(m.spark, folder, 4)
+    return parts.select(F.col("parts")[0].cast("long").alias("event_id"), F.col("parts")[3].cast("long").alias("article_id"))
+
+
+@query
+def vector_text_round_trip(m: Model) -> DataFrame:
+    """Vectors as lines of an id and numbers; a text that is no number is null."""
+    numbers = F.array_join(F.transform("vector", lambda x, i: F.when((F.col("article_id") % 5 == 0) & (i == 1), "x").otherwise(x.cast("double").cast("string"))), "\t")
+    folder = scratch_path(m.spark, "vectors")
+    write_submission(m.vectors.select(F.concat_ws("\t", "article_id", numbers).alias("line"), "article_id"), ["article_id"], folder)
+    back = read_vectors(m.spark, folder, 64)
+    return back.select(F.col("id").cast("long").alias("vec_id"), F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@query
+def store_round_trip(m: Model) -> DataFrame:
+    """Impressions stored by split; one split read alone."""
+    folder = scratch_path(m.spark, "store")
+    write_store(m.impressions.where("split is not null"), folder)
+    return m.spark.read.parquet(folder).where("split = 'validation'").select(*IMP, "t0", "split")
+
+
+@query
+def json_round_trip(m: Model) -> DataFrame:
+    folder = scratch_path(m.spark, "json")
+    profiling.value_counts(m.articles, "subcategory").write.json(folder)
+    return m.spark.read.schema("key string, n long").json(folder)
+
+
+@query
+def profile_files(m: Model) -> DataFrame:
+    """Files, bytes and lines of what was written as text."""
+    folder = scratch_path(m.spark, "profiled")
+    write_submission(m.events.select(F.concat_ws(" ", "event_id", "event_type").alias("line"), "event_id"), ["event_id"], folder)
+    return file_profile(m.spark, folder).where("path like '%.txt'").agg(F.sum("bytes").alias("n_bytes"), F.sum("lines").alias("n_lines"))
+
+
+@query
+def parquet_places(m: Model) -> DataFrame:
+    """Rows of a parquet table numbered in the order of its files."""
+    rows = with_place(m.table("orders").select("*", "_metadata"))
+    return validation.numbered(rows.select("o_orderkey", *PLACE), PLACE).select("idx", F.col("o_orderkey").alias("orderkey"))
+
+
+@query
+def limit_in_order(m: Model) -> DataFrame:
+    """The first hundred impressions in time, as a limit on evaluated impressions takes them."""
+    return m.impressions.orderBy("t0", *IMP).limit(100).select(*IMP, "t0")
+
+
+@query
+def parse_times(m: Model) -> DataFrame:
+    """Times written as text in the logs' format and parsed; a text that is no time is null."""
+    text = F.when(F.col("event_id") % 4 == 0, "no time").otherwise(F.date_format("ts", "M/d/yyyy h:mm:ss a"))
+    return m.events.select("event_id", F.try_to_timestamp(text, F.lit("M/d/yyyy h:mm:ss a")).cast("timestamp_ntz").alias("parsed"))
+
+
+@query
+def semantic_with_bad_vectors(m: Model) -> DataFrame:
+    """Vectors with a part that is no number, or infinite: their candidates score 0."""
+    bad = F.transform("vector", lambda x, i: F.when((i == 0) & (F.col("article_id") % 7 == 0), F.lit(float("nan"))).when((i == 0) & (F.col("article_id") % 7 == 1), F.lit(float("inf"))).otherwise(x.cast("double")))
+    users = m.past.where("article_id % 7 > 1")
+    return ranked(rankers.semantic(m.validation, users, m.vectors.withColumn("vector", bad), IMP))
+
+
 # ---- lexical
 
 
@@ -241,10 +336,11 @@ def recall_bm25(m: Model) -> DataFrame:
 
 @query
 def article_vectors(m: Model) -> DataFrame:
+    """Each document pools three of all vectors."""
     ids = m.table("documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j"))
-    members = ids.select("doc_id", ((F.col("doc_id") * 7 + F.col("j")) % 600).alias("article_id"))
-    every = m.table("embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
-    return vectors.pooled(members, every, ["doc_id"]).withColumn("value", F.round("value", 6))
+    size = m.vectors.agg((F.max("article_id") + 1).alias("size"))
+    members = ids.crossJoin(F.broadcast(size)).select("doc_id", ((F.col("doc_id") * 7 + F.col("j")) % F.col("size")).alias("article_id"))
+    return vectors.pooled(members, m.vectors, ["doc_id"]).withColumn("value", F.round("value", 6))
 
 
 @query
@@ -317,6 +413,7 @@ def metric_coverage(m: Model) -> DataFrame:
 
 @query
 def metric_slices(m: Model) -> DataFrame:
+    m = m.stored
     methods = {
         "popularity": rankers.popularity(m.validation, m.clicks, IMP),
         "affinity": rankers.affinity_ranker(m.validation, m.past, m.articles, m.clicks, IMP, normalize=True),
@@ -334,7 +431,11 @@ def metric_slices(m: Model) -> DataFrame:
 
 @query
 def bootstrap_ci(m: Model) -> DataFrame:
-    return bootstrap.bootstrap_ci(metrics.ndcg(_by_affinity(m), IMP), IMP, "ndcg_10", "ndcg_10")
+    """Intervals of all metrics of one method, over all, cold and warm impressions."""
+    by = materialize(_by_affinity(m), "ranked")
+    each = metrics.per_impression(by, IMP).join(metrics.novelty(by, m.clicks, IMP), IMP).join(metrics.diversity(by, m.vectors, IMP), IMP)
+    sliced = metrics.by_slice(each, m.n_history, IMP)
+    return bootstrap.bootstrap_ci(sliced, IMP, ["auc", "mrr", "ndcg_5", "ndcg_10", "novelty", "diversity"], ["slice"])
 
 
 @query
@@ -388,7 +489,7 @@ def profile_impressions_per_user(m: Model) -> DataFrame:
 
 @query
 def profile_histogram(m: Model) -> DataFrame:
-    return profiling.histogram(m.table("documents").where("n_chars < 20000"), "n_chars")
+    return profiling.histogram(m.table("documents"), "n_chars")
 
 
 @query

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from ..functions.text import STOPWORDS
+from ..operators.bootstrap import POISSON
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -29,13 +30,13 @@ past AS (SELECT hist.* FROM hist SEMI JOIN (SELECT * FROM imp WHERE split = 'val
 clicks AS (SELECT article_id, count(*) AS clicks FROM cand SEMI JOIN (SELECT * FROM imp WHERE split = 'train') i ON cand.user_id = i.user_id AND cand.w = i.w
            WHERE y = 1 GROUP BY article_id),
 nh AS (SELECT user_id, w, count(*) AS n_history FROM hist GROUP BY ALL),
-art AS (SELECT doc_id AS article_id, substring(text, 1, 80) AS title, substring(text, 81, 400) AS abstract, lang AS category, source AS subcategory,
+art AS (SELECT doc_id AS article_id, substring(text, 1, 80) AS title, substring(text, 81) AS abstract, lang AS category, source AS subcategory,
           tp.topics, p.published
         FROM documents JOIN (SELECT doc_id AS d, (list_distinct_ordered)[1:5] AS topics FROM
              (SELECT doc_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, {toks("substring(text, 1, 80)")} AS t FROM documents))) tp ON tp.d = doc_id
         LEFT JOIN (SELECT article_id AS a, min(ts) AS published FROM ev GROUP BY 1) p ON p.a = doc_id),
-texts AS (SELECT article_id, concat_ws(' ', title, abstract) AS text FROM art),
-vec AS (SELECT vec_id AS article_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE vec_id < 60 OR vec_id >= 100),
+texts AS (SELECT doc_id AS article_id, text FROM documents),
+vec AS (SELECT vec_id AS article_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
 vp AS (SELECT val.*, coalesce(c.clicks, 0) AS clicks, (SELECT greatest(coalesce(max(clicks), 1), 1) FROM clicks) AS most FROM val LEFT JOIN clicks c USING (article_id)),
 lp AS (SELECT *, ln(1 + clicks) / ln(1 + most) AS lp FROM vp),
 """
@@ -168,11 +169,21 @@ def spread(x: str) -> str:
     return f"SELECT count(x) AS n, count(DISTINCT x) AS n_distinct, CAST(min(x) AS DOUBLE) AS lowest, CAST(max(x) AS DOUBLE) AS highest, round(avg(CAST(x AS DOUBLE)), 6) AS mean, round(median(CAST(x AS DOUBLE)), 6) AS median FROM ({x})"
 
 
-DRAWS = """
-, n AS (SELECT count(*) AS n FROM numbered),
-draws AS (SELECT r.range AS r, 1 + CAST(('0x' || substr(md5(r.range || '-' || i.range), 1, 8)) AS BIGINT) % n AS idx FROM n, range(0, 500) r, range(1, (SELECT count(*) + 1 FROM numbered)) i)
-"""
-INTERVAL = "round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci95_low, round(quantile_cont(m, 0.975), 6) AS ci95_high"
+#: A list's draw for a replicate and the Poisson count it stands for, as in the bootstrap operators.
+def mixed(seed: str, r: str) -> str:
+    x = f"(({seed} + ({r} + 1) * 2654435769) & 4294967295)"
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * 73244475) & 4294967295)"
+    return f"xor({x}, {x} >> 16)"
+
+
+SEED = "CAST(('0x' || substr(md5(user_id || '-' || w), 1, 8)) AS BIGINT) AS seed"
+COUNT = f"len(list_filter({POISSON}, lambda x: x <= d))"
+QUANTILES = "round(quantile_cont(m, 0.025), 6) AS ci95_low, round(quantile_cont(m, 0.975), 6) AS ci95_high"
+NOVELTY = "round(avg(-log2(CAST(greatest(coalesce(c.clicks, 0), 1) AS DOUBLE) / (SELECT greatest(coalesce(sum(clicks), 0), 1) FROM clicks))), 6)"
+DIVERSITY = """t10 AS (SELECT l.user_id, l.w, l.article_id, vec.vector FROM l LEFT JOIN vec USING (article_id) WHERE rank <= 10),
+p10 AS (SELECT a.user_id, a.w, avg(1 - list_inner_product(a.vector, b.vector)) AS d FROM t10 a JOIN t10 b ON a.user_id = b.user_id AND a.w = b.w AND a.article_id < b.article_id AND a.vector IS NOT NULL AND b.vector IS NOT NULL GROUP BY ALL),
+div AS (SELECT k.user_id, k.w, round(coalesce(p10.d, 0), 6) AS diversity FROM (SELECT DISTINCT user_id, w FROM t10) k LEFT JOIN p10 ON p10.user_id = k.user_id AND p10.w = k.w)"""
 LABELLED = NORM + ranking("r", "s") + labelled()
 
 METHODS = (
@@ -188,7 +199,7 @@ SQL = {
     "store_impressions": BASE + """c AS (SELECT user_id, w, count(*) AS n_candidates, CAST(sum(y) AS BIGINT) AS n_clicked FROM cand GROUP BY ALL)
 SELECT imp.user_id, imp.w, t0, split, n_candidates, n_clicked, coalesce(n_history, 0) AS n_history FROM imp LEFT JOIN c ON c.user_id = imp.user_id AND c.w = imp.w LEFT JOIN nh ON nh.user_id = imp.user_id AND nh.w = imp.w""",
     "store_split_counts": BASE + "z AS (SELECT 1) SELECT split, count(*) AS impressions FROM imp WHERE split IS NOT NULL GROUP BY split",
-    "store_articles": BASE + "z AS (SELECT 1) SELECT article_id, category, subcategory, length(title) AS title_chars, array_to_string(topics, ',') AS topics, published FROM art",
+    "store_articles": BASE + "z AS (SELECT 1) SELECT article_id, category, subcategory, length(title) AS title_chars, length(abstract) AS abstract_chars, array_to_string(topics, ',') AS topics, published FROM art",
     "dedup_keep_first": BASE + "z AS (SELECT *, CAST(w % 2 <> 0 AS INT) AS o FROM ev WHERE article_id IS NOT NULL) SELECT article_id, CASE WHEN o = 0 THEN 'train' ELSE 'dev' END AS source_split, event_id FROM z QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY o, event_id) = 1",
     "dedup_keep_last": BASE + "z AS (SELECT *, CAST(w % 2 <> 0 AS INT) AS o FROM ev WHERE article_id IS NOT NULL) SELECT article_id, CASE WHEN o = 0 THEN 'train' ELSE 'dev' END AS source_split, event_id FROM z QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY o DESC, event_id DESC) = 1",
     "recency_weights_of_history": BASE + "z AS (SELECT 1) SELECT user_id, w, CAST(age AS INT) AS age, article_id, round(pow(0.8::DOUBLE, age), 6) AS weight FROM past",
@@ -212,6 +223,21 @@ SELECT event_id, array_to_string(list_transform(items, lambda x: regexp_replace(
     "rank_hybrid": BASE + HYBRID + ranking("r", "s") + RANKED,
     "submission_lines": BASE + POP + ranking("r", "s") + " SELECT user_id, w, user_id || ' [' || string_agg(rank, ',' ORDER BY pos) || ']' AS line FROM r GROUP BY user_id, w",
     "validate_permutation": BASE + POP + ranking("r", "s") + " SELECT user_id, w, NOT (user_id % 10 = 0 AND starts_with(string_agg(rank, ',' ORDER BY pos), '1')) AS is_valid FROM r GROUP BY user_id, w",
+    "validate_order": BASE + POP + ranking("r", "s") + """, n AS (SELECT r.user_id, r.w, t0 FROM (SELECT DISTINCT user_id, w FROM r) r JOIN imp ON imp.user_id = r.user_id AND imp.w = r.w)
+SELECT row_number() OVER (ORDER BY t0, user_id, w) AS idx, CAST(user_id AS VARCHAR) AS expected, CASE WHEN user_id % 10 = 0 THEN 'x' ELSE '' END || user_id AS got, user_id % 10 <> 0 AS is_valid FROM n""",
+    "tsv_round_trip": BASE + "z AS (SELECT 1) SELECT row_number() OVER (ORDER BY event_id) AS idx, event_id, user_id, nullif(event_type, 'view') AS event_type, article_id FROM ev",
+    "field_guard": BASE + "z AS (SELECT 1) SELECT event_id, article_id FROM ev WHERE event_id % 3 > 0 AND article_id IS NOT NULL",
+    "vector_text_round_trip": "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS dim, unnest(list_transform(embedding, lambda x, i: CASE WHEN vec_id % 5 = 0 AND i = 2 THEN NULL ELSE round(CAST(x AS DOUBLE), 6) END)) AS value FROM embeddings",
+    "store_round_trip": BASE + "z AS (SELECT 1) SELECT user_id, w, t0, split FROM imp WHERE split = 'validation'",
+    "json_round_trip": "SELECT source AS key, count(*) AS n FROM documents GROUP BY source",
+    "profile_files": "SELECT CAST(sum(length(event_id || ' ' || event_type) + 1) AS BIGINT) AS n_bytes, count(*) AS n_lines FROM events",
+    "parquet_places": "SELECT row_number() OVER () AS idx, o_orderkey AS orderkey FROM orders",
+    "limit_in_order": BASE + "z AS (SELECT 1) SELECT user_id, w, t0 FROM imp ORDER BY t0, user_id, w LIMIT 100",
+    "parse_times": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN date_trunc('second', ts) END AS parsed FROM events",
+    "semantic_with_bad_vectors": BASE.replace("past AS (SELECT hist.*", "past0 AS (SELECT hist.*").replace("clicks AS (SELECT article_id", "past AS (SELECT * FROM past0 WHERE article_id % 7 > 1),\nclicks AS (SELECT article_id", 1) + users("uv", 1.0, 1000000) + """s AS (SELECT val.user_id, val.w, val.pos, val.article_id, val.y,
+  CASE WHEN val.article_id % 7 > 1 THEN coalesce(list_inner_product(vec.vector, uv.v) / uv.n, 0) ELSE 0 END AS score
+  FROM val LEFT JOIN vec USING (article_id) LEFT JOIN uv ON uv.user_id = val.user_id AND uv.w = val.w),
+""" + ranking("r", "s") + RANKED,
     "tokenize_documents": BASE + BM25 + "z AS (SELECT 1) SELECT article_id AS doc_id, term AS token, tf AS n FROM post",
     "bm25_postings": BASE + BM25 + "z AS (SELECT 1) SELECT term, article_id AS doc_id, tf FROM post",
     "bm25_term_stats": BASE + BM25 + "z AS (SELECT 1) SELECT term, df, round(idf, 6) AS idf FROM dfs",
@@ -222,7 +248,7 @@ s AS (SELECT val.*, coalesce(cs.score, 0) AS score FROM val LEFT JOIN cs ON cs.u
 """ + ranking("r", "s") + RANKED,
     "retrieve_bm25_topk": BASE + TOP_BM25 + "z AS (SELECT 1) SELECT user_id, w, article_id, score, rank FROM top",
     "recall_bm25": BASE + TOP_BM25 + recalled("bm25").lstrip(),
-    "article_vectors": """WITH e AS (SELECT doc_id, unnest([(doc_id * 7) % 600, (doc_id * 7 + 1) % 600, (doc_id * 7 + 2) % 600]) AS vec_id FROM documents),
+    "article_vectors": """WITH e AS (SELECT doc_id, unnest([(doc_id * 7) % n, (doc_id * 7 + 1) % n, (doc_id * 7 + 2) % n]) AS vec_id FROM documents, (SELECT max(vec_id) + 1 AS n FROM embeddings)),
 x AS (SELECT doc_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM e JOIN embeddings USING (vec_id)),
 a AS (SELECT doc_id, dim, avg(x) AS x FROM x GROUP BY ALL)
 SELECT doc_id, CAST(dim AS INT) AS dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 1e-12), 6) AS value FROM a""",
@@ -233,18 +259,34 @@ SELECT doc_id, CAST(dim AS INT) AS dim, round(x / greatest(sqrt(sum(x * x) OVER
     "metric_auc_ranks": BASE + LOGPOP + ranking("r", "s") + labelled() + auc(score="-rank") + " SELECT user_id, w, coalesce(auc, 0) AS auc FROM auc",
     "metric_mrr": BASE + LABELLED + mrr() + " SELECT user_id, w, mrr FROM mrr",
     "metric_ndcg": BASE + LABELLED + ndcg() + " SELECT user_id, w, ndcg_5, ndcg_10 FROM ndcg",
-    "metric_diversity": BASE + LABELLED + """, t AS (SELECT l.user_id, l.w, l.article_id, vec.vector FROM l LEFT JOIN vec USING (article_id) WHERE rank <= 10),
-p AS (SELECT a.user_id, a.w, avg(1 - list_inner_product(a.vector, b.vector)) AS d FROM t a JOIN t b ON a.user_id = b.user_id AND a.w = b.w AND a.article_id < b.article_id AND a.vector IS NOT NULL AND b.vector IS NOT NULL GROUP BY ALL)
-SELECT k.user_id, k.w, round(coalesce(p.d, 0), 6) AS diversity FROM (SELECT DISTINCT user_id, w FROM t) k LEFT JOIN p ON p.user_id = k.user_id AND p.w = k.w""",
-    "metric_novelty": BASE + LABELLED + " SELECT user_id, w, round(avg(-log2(CAST(greatest(coalesce(c.clicks, 0), 1) AS DOUBLE) / (SELECT greatest(coalesce(sum(clicks), 0), 1) FROM clicks))), 6) AS novelty FROM l LEFT JOIN clicks c USING (article_id) WHERE rank <= 10 GROUP BY user_id, w",
+    "metric_diversity": BASE + LABELLED + f""", {DIVERSITY} SELECT user_id, w, diversity FROM div""",
+    "metric_novelty": BASE + LABELLED + f" SELECT user_id, w, {NOVELTY} AS novelty FROM l LEFT JOIN clicks c USING (article_id) WHERE rank <= 10 GROUP BY user_id, w",
     "metric_coverage": BASE + LABELLED + " SELECT count(DISTINCT article_id) AS covered, (SELECT count(*) FROM documents) AS catalog, round(CAST(count(DISTINCT article_id) AS DOUBLE) / (SELECT greatest(count(*), 1) FROM documents), 6) AS coverage FROM l WHERE rank <= 10",
     "metric_slices": BASE + METHODS + labelled(MK) + auc(MK) + mrr(MK) + ndcg(MK) + """,
 e AS (SELECT a.method, unnest(['all', CASE WHEN coalesce(nh.n_history, 0) < 5 THEN 'cold_history_under_5' ELSE 'warm_history_5_or_more' END]) AS slice, auc, mrr, ndcg_5, ndcg_10
   FROM auc a JOIN mrr m ON m.method = a.method AND m.user_id = a.user_id AND m.w = a.w JOIN ndcg n ON n.method = a.method AND n.user_id = a.user_id AND n.w = a.w LEFT JOIN nh ON nh.user_id = a.user_id AND nh.w = a.w)
 SELECT method, slice, metric, count(v) AS n, round(avg(v), 6) AS value FROM (
   SELECT method, slice, 'auc' AS metric, auc AS v FROM e UNION ALL SELECT method, slice, 'mrr', mrr FROM e UNION ALL SELECT method, slice, 'ndcg_5', ndcg_5 FROM e UNION ALL SELECT method, slice, 'ndcg_10', ndcg_10 FROM e) GROUP BY ALL""",
-    "bootstrap_ci": BASE + LABELLED + ndcg() + ", numbered AS (SELECT ndcg_10 AS v, row_number() OVER (ORDER BY user_id, w) AS idx FROM ndcg)" + DRAWS.rstrip() + f", ms AS (SELECT r, avg(v) AS m FROM draws JOIN numbered USING (idx) GROUP BY r) SELECT 'ndcg_10' AS metric, {INTERVAL} FROM ms",
-    "bootstrap_coverage": BASE + LABELLED + ", t AS (SELECT user_id, w, article_id FROM l WHERE rank <= 10), numbered AS (SELECT user_id, w, row_number() OVER (ORDER BY user_id, w) AS idx FROM (SELECT DISTINCT user_id, w FROM t))" + DRAWS.rstrip() + f", ms AS (SELECT r, CAST(count(DISTINCT article_id) AS DOUBLE) / (SELECT greatest(count(*), 1) FROM documents) AS m FROM draws JOIN numbered USING (idx) JOIN t ON t.user_id = numbered.user_id AND t.w = numbered.w GROUP BY r) SELECT 'coverage_10' AS metric, {INTERVAL} FROM ms",
+    "bootstrap_ci": BASE + LABELLED + auc() + mrr() + ndcg() + f""", nov AS (SELECT user_id, w, {NOVELTY} AS novelty FROM l LEFT JOIN clicks c USING (article_id) WHERE rank <= 10 GROUP BY user_id, w),
+{DIVERSITY},
+wide AS (SELECT a.user_id, a.w, auc, mrr, ndcg_5, ndcg_10, novelty, diversity, unnest(['all', CASE WHEN coalesce(n_history, 0) < 5 THEN 'cold_history_under_5' ELSE 'warm_history_5_or_more' END]) AS slice
+  FROM auc a JOIN mrr USING (user_id, w) JOIN ndcg USING (user_id, w) JOIN nov USING (user_id, w) JOIN div USING (user_id, w) LEFT JOIN nh USING (user_id, w)),
+long AS (UNPIVOT wide ON auc, mrr, ndcg_5, ndcg_10, novelty, diversity INTO NAME metric VALUE v),
+seeds AS (SELECT user_id, w, {SEED} FROM l GROUP BY user_id, w),
+d1 AS (SELECT user_id, w, r, ((seed + (r + 1) * 2654435769) & 4294967295) AS x FROM seeds, (SELECT unnest(range(0, 500)) AS r)),
+d2 AS (SELECT user_id, w, r, ((xor(x, x >> 16) * 73244475) & 4294967295) AS x FROM d1), d3 AS (SELECT user_id, w, r, ((xor(x, x >> 16) * 73244475) & 4294967295) AS x FROM d2),
+weights AS (SELECT user_id, w, r, {COUNT} AS n FROM (SELECT user_id, w, r, xor(x, x >> 16) AS d FROM d3)),
+ms AS (SELECT slice, metric, r, sum(v * n) / nullif(sum(n), 0) AS m FROM long JOIN weights USING (user_id, w) GROUP BY ALL),
+own AS (SELECT slice, metric, count(v) AS n, round(avg(v), 6) AS mean FROM long GROUP BY ALL),
+ci AS (SELECT slice, metric, {QUANTILES} FROM ms GROUP BY ALL)
+SELECT slice, metric, n, mean, ci95_low, ci95_high FROM own JOIN ci USING (slice, metric)""",
+    "bootstrap_coverage": BASE + LABELLED + f""", t AS (SELECT user_id, w, article_id, {SEED} FROM l WHERE rank <= 10),
+lists AS (SELECT DISTINCT user_id, w FROM t),
+d AS (SELECT article_id, r, {mixed("seed", "r")} AS d FROM (SELECT article_id, seed, unnest(range(0, 500)) AS r FROM t)),
+rs AS (SELECT unnest(range(0, 500)) AS r),
+ms AS (SELECT rs.r, CAST(count(DISTINCT article_id) AS DOUBLE) / (SELECT greatest(count(*), 1) FROM documents) AS m FROM rs LEFT JOIN (SELECT * FROM d WHERE d >= {POISSON[0]}) d USING (r) GROUP BY rs.r)
+SELECT 'coverage_10' AS metric, (SELECT count(*) FROM lists) AS n, round(avg(m), 6) AS mean, {QUANTILES},
+  (SELECT round(CAST(count(DISTINCT article_id) AS DOUBLE) / (SELECT greatest(count(*), 1) FROM documents), 6) FROM t) AS observed_full_sample FROM ms""",
     "profile_nulls": BASE + "n AS (SELECT count(*) AS n FROM art) " + " UNION ALL ".join(f"SELECT '{c}' AS column, count(*) - count({c}) AS nulls, round(CASE WHEN any_value(n) > 0 THEN CAST(count(*) - count({c}) AS DOUBLE) / any_value(n) ELSE 0 END, 6) AS share FROM art, n" for c in ("title", "abstract", "category", "published")),
     "profile_table_shape": "SELECT 'documents' AS table, count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns FROM documents UNION ALL SELECT 'events', count(*), 6 FROM events UNION ALL SELECT 'embeddings', count(*), 3 FROM embeddings",
     "profile_value_counts": "SELECT source AS key, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, key NULLS LAST LIMIT 10",
@@ -253,7 +295,7 @@ SELECT method, slice, metric, count(v) AS n, round(avg(v), 6) AS value FROM (
     "profile_click_rate": BASE + "z AS (SELECT 1) " + spread("SELECT round(avg(y), 6) AS x FROM cand GROUP BY user_id, w"),
     "profile_clicks_per_impression": BASE + "z AS (SELECT CAST(sum(y) AS BIGINT) AS x FROM cand GROUP BY user_id, w) SELECT CAST(x AS VARCHAR) AS key, count(*) AS n FROM z GROUP BY x",
     "profile_impressions_per_user": BASE + "z AS (SELECT 1) SELECT user_id, count(*) AS n FROM imp GROUP BY user_id",
-    "profile_histogram": "WITH d AS (SELECT CAST(n_chars AS DOUBLE) AS x FROM documents WHERE n_chars < 20000), e AS (SELECT min(x) AS lo, max(x) AS hi FROM d) SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 50), 49) ELSE 0 END AS BIGINT) AS bin, count(*) AS n FROM d, e GROUP BY 1",
+    "profile_histogram": "WITH d AS (SELECT CAST(n_chars AS DOUBLE) AS x FROM documents), e AS (SELECT min(x) AS lo, max(x) AS hi FROM d) SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 50), 49) ELSE 0 END AS BIGINT) AS bin, count(*) AS n FROM d, e GROUP BY 1",
     "profile_bool_share": "SELECT count(*) AS n, round(avg(CAST(event_type = 'click' AS INT)), 6) AS share_true FROM events",
     "profile_time_range": "SELECT min(strftime(ts, '%-m/%-d/%Y %-I:%M:%S %p')) AS first_text, max(strftime(ts, '%-m/%-d/%Y %-I:%M:%S %p')) AS last_text, min(ts) AS first_ts, max(ts) AS last_ts FROM events",
     "stream_popularity_counts": BASE + "z AS (SELECT 1) SELECT article_id, count(*) AS clicks FROM ev WHERE event_type = 'click' GROUP BY article_id",

@@ -15,9 +15,10 @@ TIME_FORMAT = "M/d/yyyy h:mm:ss a"
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str, missing: Sequence[str] = ()) -> DataFrame:
-    """A headerless, unquoted tab-separated file. Short lines give nulls; ``missing`` texts become null."""
+def read_tsv(spark: SparkSession, path: str, schema: str, missing: Sequence[str] = (), places: bool = False) -> DataFrame:
+    """A headerless, unquoted tab-separated file. Short lines give nulls; ``missing`` texts become null; ``places`` adds each row's place."""
     df = spark.read.schema(schema).option("sep", "\t").option("quote", "").option("mode", "PERMISSIVE").csv(path)
+    df = with_place(df) if places else df
     if missing:
         text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
         df = df.select(*[F.when(~F.col(c).isin(*missing), F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])
@@ -58,6 +59,17 @@ def vector_column(df: DataFrame, id_column: str) -> str:
 
 
 def file_profile(spark: SparkSession, path: str) -> DataFrame:
-    """``path, bytes`` of each file below ``path``, from metadata alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("bytes"))
+    """``path, bytes, lines`` of each file below ``path``. Sizes come from metadata alone; lines are counted where the files are read, in parts."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("lines"))
+    bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    return files.join(lines, bare(F.col("path")) == bare(F.col("_path")), "left").select("path", "bytes", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+#: Columns that name a row's place in its source, in order.
+PLACE = ["src_file", "src_at", "src_row"]
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """``df``, read from files, with its rows' places: file, start of the part it was read in, and a number that rises within the part."""
+    return df.select("*", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("src_at"), F.monotonically_increasing_id().alias("src_row"))

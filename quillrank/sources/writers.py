@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .archives import pack
+from .readers import PLACE, with_place
 
 
 def write_store(df: DataFrame, path: str, by: str = "split") -> None:
@@ -28,12 +29,19 @@ def rank_lines(ranked: DataFrame, id_column: str, keys: list[str]) -> DataFrame:
     return lists.select(*keys, text.alias("line"))
 
 
-def write_submission(lines: DataFrame, order: list[str], folder: str, archive: str | None = None, name: str = "prediction.txt") -> None:
-    """Lines in source order as text; with ``archive``, packed as one file (then the driver reads it line by line)."""
+def write_submission(lines: DataFrame, order: list[str], folder: str) -> None:
+    """Lines in the order of ``order`` as text, in parts that follow each other by name."""
     lines.orderBy(*order).select("line").write.mode("overwrite").text(folder)
-    if archive:
-        whole = Path(archive).with_suffix(".txt")
-        with whole.open("w") as out:
-            for row in lines.orderBy(*order).select("line").toLocalIterator():
-                out.write(row["line"] + "\n")
-        pack(whole, archive, name)
+
+
+def written_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write_submission`` wrote, with each line's place."""
+    return with_place(spark.read.text(folder)).withColumnRenamed("value", "line")
+
+
+def pack_submission(spark: SparkSession, folder: str, archive: str, name: str = "prediction.txt") -> None:
+    """The written lines as one file of an archive; the driver passes them on part by part and holds none."""
+    ordered = written_lines(spark, folder).orderBy(*PLACE).select("line")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z, z.open(name, "w", force_zip64=True) as out:
+        for row in ordered.toLocalIterator():
+            out.write(f"{row['line']}\n".encode())

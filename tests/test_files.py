@@ -56,7 +56,8 @@ def test_archives(tmp_path):
 def test_submission(spark, tmp_path):
     ranked = spark.createDataFrame([(2, 0, 2), (2, 1, 1), (1, 0, 1)], "imp long, pos int, rank int")
     lines = writers.rank_lines(ranked, "imp", ["imp"])
-    writers.write_submission(lines, ["imp"], str(tmp_path / "out"), str(tmp_path / "p.zip"))
+    writers.write_submission(lines, ["imp"], str(tmp_path / "out"))
+    writers.pack_submission(spark, str(tmp_path / "out"), str(tmp_path / "p.zip"))
     with zipfile.ZipFile(tmp_path / "p.zip") as z:
         assert z.read("prediction.txt").decode() == "1 [1]\n2 [2,1]\n"
     split = spark.createDataFrame([(1, "train"), (2, "test")], "x int, split string")
@@ -64,3 +65,37 @@ def test_submission(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).where(F.col("split") == "test").count() == 1
     writers.write_json({"a": 1}, tmp_path / "m.json")
     assert (tmp_path / "m.json").read_text().startswith("{")
+
+
+def test_places_and_profiles(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("z\ny\n")
+    (tmp_path / "in/b.txt").write_text("x")
+    df = readers.with_place(spark.read.text(str(tmp_path / "in")))
+    assert [r["value"] for r in df.orderBy(*readers.PLACE).collect()] == ["z", "y", "x"]
+    got = {r["path"][-5:]: (r["bytes"], r["lines"]) for r in readers.file_profile(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.txt": (4, 2), "b.txt": (1, 1)}
+
+
+def test_the_history_fallback_column(spark):
+    behaviors = spark.sql("SELECT 1 AS impression_id, 7 AS user_id, TIMESTAMP'2024-01-01' AS impression_time, array(1, 2) AS article_ids_inview, array(2) AS article_ids_clicked")
+    history = spark.createDataFrame([(7, [4])], "user_id int, article_id array<int>")
+    assert store.parquet_impressions(behaviors, history, "train").first()["history_ids"] == ["4"]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from quillrank.sources import scratch
+
+    class Conf:
+        def get(self, name, default=None):
+            return "spark://host" if name == "spark.master" else default
+
+    class Session:
+        conf = Conf()
+
+    try:
+        scratch.shared_dir(Session())
+    except RuntimeError as e:
+        assert "spark.checkpoint.dir" in str(e)
+    else:
+        raise AssertionError("a cluster without a shared folder was accepted")

@@ -106,13 +106,56 @@ def test_masked_history_comes_last_and_dropped_history_does_not(spark):
 
 
 def test_bootstrap(spark):
-    values = spark.createDataFrame([(i, float(i % 3)) for i in range(40)] + [(99, None)], "imp long, v double")
-    r = bootstrap.bootstrap_ci(values, ["imp"], "v", "m", replicates=50).first()
-    assert r["ci95_low"] < r["mean"] < r["ci95_high"]
-    assert bootstrap.bootstrap_ci(values.where("v > 9"), ["imp"], "v", "m", replicates=5).first()["mean"] is None
-    assert sorted(x["idx"] for x in bootstrap.numbered(values, ["imp"]).collect()) == list(range(1, 42))
-    assert bootstrap.numpy_ci([])["mean"] is None
-    assert bootstrap.numpy_ci([1.0, 1.0])["ci95_low"] == 1.0
+    values = spark.createDataFrame([(i, float(i), "a") for i in range(7)] + [(99, None, "a"), (98, float("nan"), "a"), (97, None, "b")], "imp long, v double, g string")
+    got = {r["g"]: r for r in bootstrap.bootstrap_ci(values, ["imp"], ["v"], ["g"]).collect()}
+    assert (got["a"]["n"], got["a"]["mean"]) == (7, 3.0)  # the sample's own mean
+    assert 1.0 < got["a"]["ci95_low"] < 3.0 < got["a"]["ci95_high"] < 5.0
+    assert (got["b"]["n"], got["b"]["mean"], got["b"]["ci95_low"]) == (0, None, None)
+    many = spark.range(2000).select(F.col("id").alias("imp"), (F.col("id") % 10).cast("double").alias("v"))
+    r = bootstrap.bootstrap_ci(many, ["imp"], ["v"], []).first()
+    half = 1.96 * 8.25**0.5 / 2000**0.5  # of the normal interval
+    assert abs(r["ci95_high"] - 4.5 - half) < 0.03 and abs(4.5 - half - r["ci95_low"]) < 0.03
+    assert bootstrap.bootstrap_ci(many.limit(0), ["imp"], ["v"], []).count() == 0
+
+
+def test_coverage_of_resampled_lists(spark):
+    ranked = spark.createDataFrame([(i, 1, i % 4) for i in range(4)], "imp long, rank int, article_id int")
+    catalog = spark.createDataFrame([(8,)], "catalog long")
+    r = bootstrap.bootstrap_coverage(ranked, ["imp"], catalog).first()
+    assert (r["metric"], r["n"], r["observed_full_sample"]) == ("coverage_10", 4, 0.5)
+    assert abs(r["mean"] - 0.5 * (1 - 2.718281828**-1)) < 0.02 and r["ci95_low"] < r["mean"] < r["ci95_high"] <= 0.5
+
+
+def test_numbered_and_order(spark):
+    df = spark.range(40).select((F.col("id") * 7 % 40).alias("x"))
+    assert {(r["x"] + 1, r["idx"]) for r in validation.numbered(df, ["x"]).collect()} == {(i, i) for i in range(1, 41)}
+    source = spark.createDataFrame([("b", 2, 0), ("a", 1, 1), ("c", 1, 2)], "id string, n_candidates int, at int")
+    lines = spark.createDataFrame([("b [2,1]", 0), ("c [1]", 1), ("a [1]", 2), ("d [1]", 3)], "line string, at int")
+    got = validation.validate_order(lines, ["at"], source, ["at"]).orderBy("idx").collect()
+    assert [(r["expected"], r["got"], r["is_valid"]) for r in got] == [("b", "b", True), ("a", "c", False), ("c", "a", False), (None, "d", False)]
+
+
+def test_a_candidate_without_a_vector_or_with_a_bad_one_scores_zero(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0])], "article_id long, vector array<double>")
+    shown = spark.createDataFrame([(1, p, a) for p, a in enumerate([1, 2, 3, 4, 5])], "imp long, pos int, article_id long")
+    past = spark.createDataFrame([(1, 0, 1)], "imp long, age int, article_id long")
+    got = {r["article_id"]: r["score"] for r in rankers.semantic(shown, past, vecs, ["imp"]).collect()}
+    assert got == {1: 1.0, 2: -1.0, 3: 0.0, 4: 0.0, 5: 0.0}
+    users = spark.createDataFrame([(1, [1.0, 0.0])], "imp long, user_vector array<double>")
+    top = vectors.dense_top_k(users, vecs, past.limit(0), ["imp"], k=4).orderBy("rank").collect()
+    assert [(r["article_id"], r["score"]) for r in top] == [(1, 1.0), (5, 1.0), (2, -1.0), (4, None)]
+
+
+def test_retrieval_in_many_cells(spark, monkeypatch):
+    docs = spark.range(60).select(F.col("id").alias("article_id"), F.concat(F.lit("word common "), F.expr("repeat('t', cast(id % 7 + 2 as int))")).alias("text"))
+    terms = spark.createDataFrame([(i, t) for i in range(12) for t in ("common", "t" * (i % 7 + 2), "nowhere")], "imp long, term string")
+    past = spark.createDataFrame([(1, 1, 0), (1, 8, 1)], "imp long, article_id long, age int")
+    whole = sorted(map(tuple, bm25.retrieve(terms, bm25.weighted_postings(docs), past, ["imp"], k=5).collect()))
+    monkeypatch.setattr(bm25, "SHARD", 7)
+    monkeypatch.setattr(bm25, "SHARD_MOST", 7)
+    monkeypatch.setattr(bm25, "ASKED", 4)
+    assert sorted(map(tuple, bm25.retrieve(terms, bm25.weighted_postings(docs), past, ["imp"], k=5).collect())) == whole
+    assert len(whole) == 60 and not {1, 8} & {r[1] for r in whole if r[0] == 1}
 
 
 def test_profiles(spark):
