@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize, shared_dir  # noqa: F401
+
 #: The ASCII white space that the contracts name: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,33 +14,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is configured, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillrank-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts lineage so that a lost executor costs a re-read and not a recomputation, and gives
-    the optimizer true file sizes, from which it decides whether a side may be broadcast.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if compression:
-        writer = writer.option("compression", compression)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(c, UPPER, LOWER)

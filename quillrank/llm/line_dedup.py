@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACES, UPPER, ascii_lower, materialize, table
 
 MIN_CHARS = 10
+#: A line is hot if it has this share of all lines, judged by about so many sampled ones.
+HOT, SAMPLE = 1 / 512, 1_000_000
 
 
 def line_array(text: Column) -> Column:
@@ -23,16 +26,26 @@ def _row_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th")]
 
 
+def hot_keys(hashes: DataFrame, rows: int) -> DataFrame:
+    """``_k1, _k2, _parts``: hashes that an even sample says hold over ``HOT`` of all ``rows``, at most ``1 / HOT`` of them, and in how many runs to sort each.
+
+    The sample is of lines, by a hash of where they stand; it balances the work and decides nothing else.
+    """
+    sampled = F.pmod(F.xxhash64(F.lit(17), "doc_id", "_pos"), F.lit(max(1, rows // SAMPLE))) == 0
+    drawn = hashes.where(sampled).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.col("_n") * F.lit(max(1, rows // SAMPLE) / max(1, rows))
+    return drawn.where(share > HOT).select(F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), F.ceil(share / HOT).alias("_parts"))
+
+
 def dropped_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per document that loses lines: ``doc_id, _th, bits``.
 
     ``bits`` maps ``line position div 64`` to a 64-bit word whose set bits are dropped lines; words
     without a dropped line are left out, so the bitmap is as long as what is dropped.
 
-    The 128-bit hashes of line keys are range-partitioned with document and position as secondary
-    sort, so the occurrences of one hot line spread over neighbouring partitions in order. Each
-    partition streams to the first and last document of each of its hashes; those partial firsts
-    (one row per hash and partition) meet in the final aggregate. No task holds all of a hot line.
+    The 128-bit hashes of line keys are written once, range-partitioned with document and position as secondary sort, and each partition streams its runs: a line is late if its
+    document isn't the first of its run. A hash that holds a large part of all lines is sorted in several runs, dealt by document, over neighbouring
+    partitions; the firsts of its runs, a few rows, are merged and its lines held against them. No task holds all of a hot line, and no text is moved.
     """
     lines = (
         docs.where(F.col("doc_id").isNotNull())
@@ -41,18 +54,19 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .where(F.length("_key") >= min_chars)
         .select("doc_id", "_th", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(9), "_key").alias("_h2"))
     )
-    ranged = lines.repartitionByRange("_h1", "_h2", "doc_id", "_pos").sortWithinPartitions("_h1", "_h2", "doc_id", "_pos")
-    ranged = materialize(ranged, "lines")
-    firsts = (
-        ranged.groupBy("_h1", "_h2")
-        .agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-        .where(F.col("_first") < F.col("_last"))
-        .select(F.col("_h1").alias("_f1"), F.col("_h2").alias("_f2"), "_first")
-    )
-    firsts = materialize(firsts, "firsts")
-    late = ranged.join(
-        firsts, (F.col("_h1") == F.col("_f1")) & (F.col("_h2") == F.col("_f2")) & (F.col("doc_id") > F.col("_first"))
-    )
+    hashes = materialize(lines, "hashes")
+    hot = materialize(hot_keys(hashes, hashes.count()), "hot")
+    known = hashes.join(F.broadcast(hot), (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left")
+    dealt = known.withColumn("_run", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("_parts"))).otherwise(F.lit(-1)))
+    ranged = dealt.select("doc_id", "_th", "_pos", "_h1", "_h2", "_run").repartitionByRange("_h1", "_h2", "_run")
+    run = W.partitionBy("_h1", "_h2", "_run").orderBy("doc_id", "_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    streamed = ranged.withColumn("_first", F.first("doc_id").over(run))
+    streamed = materialize(streamed.where((F.col("_run") >= 0) | (F.col("doc_id") > F.col("_first"))), "streamed")
+    split = streamed.where("_run >= 0")
+    firsts = split.groupBy("_h1", "_h2").agg(F.min("_first").alias("_least")).select(F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), "_least")
+    place = ["doc_id", "_th", "_pos"]
+    merged = split.join(F.broadcast(firsts), (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")) & (F.col("doc_id") > F.col("_least")))
+    late = streamed.where("_run < 0").select(*place).union(merged.select(*place))
     words = late.groupBy("doc_id", "_th", F.expr("_pos div 64").alias("_word")).agg(
         F.bit_or(F.expr("shiftleft(1L, _pos % 64)")).alias("_bits")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, materialize, table
 
 #: (verdict, host, path)
 RULES = [
@@ -33,39 +33,37 @@ def reversed_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def rule_stacks(rules: DataFrame) -> DataFrame:
-    """Per rule host: ``key`` and ``stack``, the rules of the host and of the hosts around it.
+def swept(points: DataFrame, starts: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """``points(bucket, key, ...)`` with ``stack``: the intervals of ``starts(key, depth)`` that each key is in, the outer ones first.
 
-    Host intervals are laminar: two are nested or disjoint. So the stack that a sweep holds
-    after it passes an interval's start is known from the rules alone: the rules of that
-    host and of its parent hosts, found by an equi-join on the label prefixes of the key.
+    An interval is the keys with a prefix, and any two are nested or disjoint. Points and starts are sorted together in each bucket; the sweep keeps a stack with a
+    place per depth, and a start is put in the place of its depth. What stands in a place is active while the key has it as prefix: a later start of the same depth, or
+    a key beyond the interval, takes that away.
     """
-    own = rules.select(
-        reversed_key(ascii_lower(F.col("host"))).alias("key"),
-        F.struct(
-            (F.length("host") + F.length("path")).alias("len"),
-            F.concat("host", "path").alias("rule"),
-            F.col("path").alias("path"),
-            F.col("verdict").alias("verdict"),
-            reversed_key(ascii_lower(F.col("host"))).alias("low"),
-        ).alias("r"),
-    )
-    hosts = own.select("key").distinct()
+    every = starts.select("key", "depth", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(0).alias("kind"))
+    both = points.withColumn("kind", F.lit(1)).unionByName(every, allowMissingColumns=True)
+    sweep = W.partitionBy("bucket").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    places = [F.last(F.when((F.col("kind") == 0) & (F.col("depth") == d), F.col("key")), ignorenulls=True).over(sweep).alias(f"_s{d}") for d in range(depth)]
+    held = both.select("*", *places).where("kind = 1")
+    stack = F.filter(F.array(*[f"_s{d}" for d in range(depth)]) if depth else F.array().cast("array<string>"), lambda p: p.isNotNull() & F.startswith(F.col("key"), p))
+    return held.withColumn("stack", stack).drop("kind", "depth", *[f"_s{d}" for d in range(depth)])
+
+
+def nested_depth(keys: DataFrame, around) -> DataFrame:
+    """``keys(key)`` with ``depth``: how many others its interval is in. ``around`` gives all prefixes that may be one, as an array."""
+    outer = keys.select("key", F.explode(around(F.col("key"))).alias("_outer"))
+    inner = outer.join(keys.select(F.col("key").alias("_outer")), "_outer").groupBy("key").agg(F.count(F.lit(1)).alias("depth"))
+    return keys.join(inner, "key", "left").select("key", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
+
+
+def outer_hosts(key: Column) -> Column:
     labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), r"\.", -1)
-    around = hosts.select(
-        "key",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size(labels)),
-                lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit(".")),
-            )
-        ).alias("outer"),
-    )
-    return (
-        around.join(own.withColumnRenamed("key", "outer"), "outer")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list("r"), asc=False).alias("stack"))
-    )
+    return F.transform(F.sequence(F.lit(0), F.size(labels) - 1), lambda n: F.when(n > 0, F.concat(F.array_join(F.slice(labels, F.lit(1), n), "."), F.lit("."))))
+
+
+def outer_paths(key: Column) -> Column:
+    at = F.instr(key, "?")
+    return F.when(F.length(key) > at, F.transform(F.sequence(at, F.length(key) - 1), lambda n: F.substring(key, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, buckets: int | None = None) -> DataFrame:
@@ -73,46 +71,40 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, bucke
 
     Returns ``page_id, host, path, rule, verdict``, one row per page row (repeats included). A rule
     fits its host and all subdomains when the url's path starts with the rule's; the longest rule
-    wins, ties by the greater rule string. A url without ``://`` or null has empty host and path and gets
-    ``default``; so does any url that no rule fits, with a null rule. No rules: all get ``default``.
+    wins, ties by the greater rule string, of rules repeated with other verdicts the greater verdict. A url without ``://`` or null has empty host and path and gets
+    ``default``; so does any url that no rule fits, with a null rule. No rules: all get ``default``. Rules with a null part don't count.
 
-    Rule hosts and urls are merged in one sorted sweep per bucket. Urls are dealt to buckets by
-    a hash of the whole row, so a host with any share of the rows spreads evenly; the rules, the stated
-    small side, are repeated in each bucket. Each url takes the stack of the last interval that
-    began at or before its key; intervals of that stack which ended before the key fall away.
+    Two sorted sweeps. In the first, rule hosts and urls are sorted by reversed-host key, and the stack holds the rule hosts a url is in. In the second, each of these
+    hosts with the url's path is a key among those of host and path of the rules, and the innermost rule on the stack is the longest that fits for that host. The best of a url's hosts, a few rows,
+    is found by a combining aggregate. Urls are dealt to buckets by a hash of the row, so a host with any share of the rows spreads evenly; the rules, the stated
+    small side, are repeated in each bucket. What a url carries is bounded by how deep rules are nested, not by how many a host has.
     """
     spark = pages.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select(
-        F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(n)).cast("int").alias("bucket"),
-        reversed_key(F.col("host")).alias("key"),
-        F.lit(1).alias("kind"),
-        "page_id",
-        "host",
-        "path",
-    )
-    starts = rule_stacks(rules).select(
-        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"), "key", F.lit(0).alias("kind"), "stack"
-    )
-    sweep = W.partitionBy("bucket").orderBy("key", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    swept = (
-        urls.unionByName(starts, allowMissingColumns=True)
-        .withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
-        .where("kind = 1")
-    )
-    fits = F.filter(F.col("active"), lambda r: F.startswith(F.col("key"), r["low"]) & F.startswith(F.col("path"), r["path"]))
-    best = F.get(fits, F.lit(0))
-    return swept.withColumn("_best", best).select(
-        "page_id",
-        "host",
-        "path",
-        F.col("_best.rule").alias("rule"),
-        F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"),
+    named = rules.where("host is not null and path is not null and verdict is not null").groupBy(ascii_lower(F.col("host")).alias("host"), "path").agg(F.max("verdict").alias("verdict"), F.max("host").alias("said"))
+    known = materialize(
+        named.select(
+            reversed_key(F.col("host")).alias("low"), F.concat(reversed_key(F.col("host")), F.lit("?"), F.col("path")).alias("key"), F.concat("said", "path").alias("rule"),
+            F.length(F.concat("host", "path")).alias("len"), "verdict",
+        ),
+        "rules",
+    )
+    hosts = materialize(nested_depth(known.select(F.col("low").alias("key")).distinct(), outer_hosts), "rule-hosts")
+    paths = materialize(nested_depth(known.select("key"), outer_paths), "rule-paths")
+    deep = [df.agg(F.coalesce(F.max("depth") + 1, F.lit(0))).first()[0] for df in (hosts, paths)]
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row"))
+    urls = urls.withColumn("bucket", F.pmod(F.xxhash64("page_id", "host", "path", "row"), F.lit(n)).cast("int")).withColumn("key", reversed_key(F.col("host")))
+    inside = materialize(swept(urls, hosts, deep[0], n).drop("key"), "inside")
+    asked = inside.where(F.size("stack") > 0).select("row", "bucket", F.explode(F.transform("stack", lambda low: F.concat(low, F.lit("?"), F.col("path")))).alias("key"))
+    fits = swept(asked, paths, deep[1], n).where(F.size("stack") > 0).select("row", F.element_at("stack", -1).alias("_key"))
+    best = fits.join(known, F.col("_key") == F.col("key")).groupBy("row").agg(F.max(F.struct("len", "rule", "verdict")).alias("_best")).withColumnRenamed("row", "_row")
+    return inside.join(best, F.col("row") == F.col("_row"), "left").select(
+        "page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict")
     )
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS r(verdict, host, path)")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
