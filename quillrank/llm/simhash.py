@@ -16,8 +16,8 @@ from pyspark.sql.functions import pandas_udf
 from .common import materialize, table
 from .components import LocalUnion, connected_components
 
-BITS, RADIUS, SEGMENTS = 64, 2, 3
-#: A bucket of more fingerprints than this goes to the exact linear way.
+BITS, RADIUS, SEGMENTS = 64, 2, 7
+#: A bucket of more fingerprints than this is divided by a second ring, and then into blocks of about so many.
 BUCKET = 512
 
 
@@ -64,16 +64,27 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select("doc_id", fp(F.col("text")).alias("fp"))
 
 
-def ring(segments: int = SEGMENTS, bits: int = BITS) -> list[tuple[int, int]]:
-    """Start and width of each segment; the last takes what division leaves."""
-    width = bits // segments
-    return [(i * width, width if i < segments - 1 else bits - width * i) for i in range(segments)]
+def ring(segments: int, places: list[int]) -> list[int]:
+    """The bit masks of ``segments`` neighbouring parts of ``places``, as even as can be."""
+    cut = [i * len(places) // segments for i in range(segments + 1)]
+    return [sum(1 << p for p in places[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
 
 
-def chain_ok(xor: np.ndarray, start: np.ndarray, radius: int, segments: list[tuple[int, int]]) -> np.ndarray:
+def equal_length(radius: int, segments: int) -> int:
+    """How many segments at the head of a good chain are equal: those ``l`` whose budget ``l * radius / m`` is under 1."""
+    return -(-segments // radius) - 1 if radius else segments
+
+
+def heads(radius: int, segments: int, places: list[int]) -> list[int]:
+    """Per start of the ring the mask of its equal head, which is what buckets are keyed by."""
+    parts, n = ring(segments, places), equal_length(radius, segments)
+    return [sum(parts[(i + k) % segments] for k in range(n)) for i in range(segments)]
+
+
+def chain_ok(xor: np.ndarray, start: np.ndarray, radius: int, segments: list[int]) -> np.ndarray:
     """Whether the chain from segment ``start`` keeps each prefix of ``l`` segments within ``l * radius / m``."""
     m = len(segments)
-    boxes = np.stack([np.bitwise_count(xor >> np.uint64(s) & np.uint64((1 << w) - 1)) for s, w in segments]).astype(np.int64)
+    boxes = np.stack([np.bitwise_count(xor & np.uint64(s)) for s in segments]).astype(np.int64)
     ok, total, column = np.ones(len(xor), bool), np.zeros(len(xor), np.int64), np.arange(len(xor))
     for length in range(1, m + 1):
         total += boxes[(start + length - 1) % m, column]
@@ -81,7 +92,7 @@ def chain_ok(xor: np.ndarray, start: np.ndarray, radius: int, segments: list[tup
     return ok
 
 
-def bucket_links(radius: int, segments: list[tuple[int, int]]):
+def bucket_links(radius: int, segments: list[int]):
     """Links inside the buckets of a batch, as edges from each linked fingerprint to its bucket's root."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +101,7 @@ def bucket_links(radius: int, segments: list[tuple[int, int]]):
             if not len(sizes):
                 continue
             flat = np.concatenate([np.asarray(x, np.int64) for x in pdf.fps])
-            owner, start = np.repeat(np.arange(len(sizes)), sizes), np.repeat(pdf.segment.to_numpy(), sizes)
+            owner, start = np.repeat(np.arange(len(sizes)), sizes), np.repeat(pdf.start.to_numpy(), sizes)
             fps, at, union = flat.view(np.uint64), np.arange(len(flat)), LocalUnion(len(flat))
             for step in range(1, int(sizes.max())):
                 at = at[at + step < len(flat)]
@@ -109,37 +120,50 @@ def bucket_links(radius: int, segments: list[tuple[int, int]]):
     return run
 
 
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def crowded(keyed: DataFrame, bucket: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """``keyed(start, key, fp)`` in two: buckets of 2 to ``bucket`` fingerprints as lists, and the rows of larger ones with their size ``n``."""
+    counts = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = materialize(counts, f"{tag}-buckets").toDF("s", "k", "n")
+    shared = materialize(keyed.join(counts, (F.col("start") == F.col("s")) & (F.col("key") == F.col("k"))).select("start", "key", "n", "fp"), tag)
+    small = shared.where(F.col("n") <= bucket).groupBy("start", "key").agg(F.collect_list("fp").alias("fps"))
+    return small.select("start", "fps"), shared.where(F.col("n") > bucket)
+
+
 def near_links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
     """Edges ``a, b`` that connect all fingerprints of ``distinct(fp)`` within ``radius`` of each other.
 
     Pigeonring: over ``m`` segments in a ring, any two fingerprints within the radius have a start from which
-    each chain of ``l`` segments differs in at most ``l * radius / m`` bits. With more segments than the radius the
-    first segment is equal, so buckets are (start, value of the segment); inside them the longer
-    chains prune before the full check. Edges span each bucket's links; they don't list all pairs.
+    each chain of ``l`` segments differs in at most ``l * radius / m`` bits. As long as that is under 1 the segments are equal, so buckets are (start, value of the equal head): with
+    7 segments and radius 2 three of them, 27 bits. Inside buckets the longer chains prune before the full check. Edges span each bucket's links; they don't list all pairs.
 
-    Buckets over ``bucket`` fingerprints take an exact way of linear size instead (for radius 2): two fingerprints
-    are within 2 bits if and only if some 64-bit value is within 1 bit of both. Each is dealt to the
-    65 values within 1 bit of it, and those that meet (65 at most) are linked to the least.
+    A bucket over ``bucket`` fingerprints, whose head they all share, is divided by a second ring over the other bits in the same way. What is still over that is dealt to
+    blocks, and each pair of blocks is compared in a cell of its own. So all is compared that may be within the radius, and no task holds more than two blocks.
     """
-    if segments <= radius:
-        raise ValueError("the first segment of a chain is equal only if there are more segments than the radius")
-    parts = ring(segments)
-    seg = F.array(
-        *[F.struct(F.lit(i).alias("segment"), F.call_function("shiftrightunsigned", F.col("fp"), F.lit(s)).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (s, w) in enumerate(parts)]
-    )
-    index = distinct.select("fp", F.explode(seg).alias("s")).select("fp", "s.segment", "s.value")
-    counts = index.groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = materialize(counts, "buckets").toDF("s", "v", "n")
-    shared = materialize(index.join(counts, (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v"))).select("segment", "value", "n", "fp"), "shared")
-    small = shared.where(F.col("n") <= bucket).groupBy("segment", "value").agg(F.collect_list("fp").alias("fps"))
-    edges = small.select("segment", "fps").mapInPandas(bucket_links(radius, parts), "a long, b long")
-    large = shared.where(F.col("n") > bucket).select("fp").distinct()
-    if radius != 2:
-        raise ValueError("the exact way for large buckets is for radius 2")
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(-(1 << 63) if i == 63 else 1 << i)) for i in range(BITS)])
-    near = large.select("fp", F.explode(flips).alias("z")).groupBy("z").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    star = near.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
-    return edges.union(star)
+    if not 0 < radius < segments:
+        raise ValueError("the head of a chain is equal only if there are more segments than the radius")
+    whole = list(range(BITS))
+    first = heads(radius, segments, whole)
+    parts = ring(segments, whole)
+    key = F.array(*[F.struct(F.lit(i).alias("start"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("key")) for i, mask in enumerate(first)])
+    index = distinct.select("fp", F.explode(key).alias("s")).select("s.start", "s.key", "fp")
+    small, large = crowded(index, bucket, "first-ring")
+    edges = small.mapInPandas(bucket_links(radius, parts), "a long, b long")
+    # the second ring: the first head and a head over the rest
+    rest = [[signed(mask | second) for second in heads(radius, segments, [p for p in whole if not mask >> p & 1])] for mask in first]
+    masks = F.element_at(F.array(*[F.array(*[F.lit(x) for x in row]) for row in rest]), F.col("start") + 1)
+    within = large.select("start", "fp", F.posexplode(masks).alias("second", "mask"))
+    within = within.select((F.col("second") * segments + F.col("start")).alias("start"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    small, large = crowded(within, bucket, "second-ring")
+    one_ring = small.withColumn("start", F.col("start") % segments)
+    edges = edges.union(one_ring.mapInPandas(bucket_links(radius, parts), "a long, b long"))
+    blocks = F.ceil(F.col("n") / bucket)
+    own = large.withColumn("own", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cells = own.groupBy("start", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.collect_list("fp").alias("fps"))
+    return edges.union(cells.select((F.col("start") % segments).alias("start"), "fps").mapInPandas(bucket_links(radius, parts), "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, n: int = 3, radius: int = RADIUS) -> DataFrame:

@@ -104,8 +104,19 @@ def test_simhash_query(spark, tmp_path):
     assert got == brute_components(rows, [plain_simhash(t) for _, t in rows])
 
 
-@pytest.mark.parametrize("bucket", [512, 2])
-def test_near_links_lose_none(spark, bucket):
+def assert_links(spark, fps, radius, bucket):
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    edges = simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), radius=radius, bucket=bucket).collect()
+    at = {s: i for i, s in enumerate(signed)}
+    got = union_find(len(fps), [(at[a], at[b]) for a, b in edges])
+    x = np.array(fps, np.uint64)
+    links = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(x[:i] ^ x[i]) <= radius)]
+    assert got == union_find(len(fps), links)
+    assert len(links) > 20
+
+
+@pytest.mark.parametrize(("bucket", "radius"), [(512, 2), (2, 2), (3, 1), (4, 3)])
+def test_near_links_lose_none(spark, bucket, radius):
     rng = random.Random(bucket)
     fps = set()
     for _ in range(40):
@@ -113,17 +124,29 @@ def test_near_links_lose_none(spark, bucket):
         fps.add(x)
         for _ in range(8):
             y = rng.choice([x, *fps]) if rng.random() < 0.5 else x
-            for _ in range(rng.randrange(4)):
+            for _ in range(rng.randrange(radius + 2)):
                 y ^= 1 << rng.randrange(64)
             fps.add(y)
-    fps = sorted(fps)
-    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    edges = simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), bucket=bucket).collect()
-    at = {s: i for i, s in enumerate(signed)}
-    got = union_find(len(fps), [(at[a], at[b]) for a, b in edges])
-    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
-    assert got == union_find(len(fps), links)
-    assert all((fps[at[a]] ^ fps[at[b]]).bit_count() <= 64 for a, b in edges)
+    assert_links(spark, sorted(fps), radius, bucket)
+
+
+def test_near_links_in_a_crowded_bucket(spark):
+    """Three thousand fingerprints share 40 bits, and so the heads of several chains: they pass both rings and the blocks."""
+    rng = random.Random(2)
+    base = rng.getrandbits(40)
+    assert_links(spark, sorted({base | rng.getrandbits(10) << rng.choice((40, 46, 54)) | rng.getrandbits(2) << 62 for _ in range(3000)}), 2, 64)
+
+
+@pytest.mark.parametrize(("radius", "segments"), [(1, 2), (2, 7), (2, 5), (3, 7), (19, 20)])
+def test_pigeonring(radius, segments):
+    """Every pair within the radius has a good chain, and its head is equal."""
+    rng = random.Random(segments)
+    parts, first = simhash.ring(segments, list(range(64))), simhash.heads(radius, segments, list(range(64)))
+    assert sum(parts) == 2**64 - 1 and len(first) == segments
+    for _ in range(300):
+        xor = sum(1 << k for k in rng.sample(range(64), rng.randrange(radius + 1)))
+        ok = [i for i in range(segments) if simhash.chain_ok(np.array([xor], np.uint64), np.array([i]), radius, parts)[0]]
+        assert ok and all(xor & first[i] == 0 for i in ok)
 
 
 def edited(rng, text, share):
