@@ -16,15 +16,19 @@ from .common import materialize, table
 
 K, EVERY, SCALE = 5, 50, 256.0
 #: Vectors of a page; queries of a block; routing objects at most, and how many vectors each is for.
-PAGE, BLOCK, LEAVES, PER_LEAF = 512, 256, 256, 512
+PAGE, BLOCK, LEAVES, PER_LEAF = 512, 256, 1024, 512
 SAMPLE = 2048
+#: Quantized components must lie within this.
+GREATEST = 1 << 53
 SLACK = 1e-6
 #: Lengths that have an index at least; of other lengths the vectors, and the numbers in them, that one task scans.
 TREES, SCANNED, NUMBERS = 8, 4096, 1 << 20
 
 
 def quantize(v: Column, scale: float = SCALE) -> Column:
-    return F.transform(v, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    """``floor(scale * x)`` of each component; an error if one is beyond what a double holds exactly as an integer."""
+    said = F.lit("a quantized component is beyond 2**53")
+    return F.transform(v, lambda x: F.when(F.abs(F.lit(scale) * x.cast("double")) < float(GREATEST), F.floor(F.lit(scale) * x.cast("double"))).otherwise(F.raise_error(said)).cast("long"))
 
 
 def usable(v: Column) -> Column:
@@ -66,23 +70,32 @@ class Tree:
         at = under.argmin(axis=1)
         return at, np.linalg.norm(y - self.lift(self.leaf)[at], axis=1)
 
-    def bounds(self, q: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least possible distance to each leaf's members, and the distance to its object where it was needed.
+    def order(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each query's leaves from the best on, and what their members are away at least: by the tops' distances and the stored ones alone.
 
-        Where a top's ball or the stored distance between top and leaf already excludes the leaf, its own
-        distance isn't computed.
+        The query's own leaf, where it would be inserted, is the first.
         """
         z = np.hstack([q, np.zeros((len(q), 1))])
-        objects = self.lift(self.leaf)
-        to_top = self.between(z, objects[self.tops])[:, self.top_of]
-        low = np.abs(to_top - self.top_distance[None]) - self.radius[None]
-        d = np.full(low.shape, np.nan)
-        open_ = low <= tau[:, None] + SLACK * (1 + tau[:, None])
+        to_top = self.between(z, self.lift(self.leaf)[self.tops])[:, self.top_of]
+        low = np.maximum(np.abs(to_top - self.top_distance[None]) - self.radius[None], 0)
+        first = low.copy()
+        first[np.arange(len(q)), self.insert(q)[0]] = -1
+        return np.argsort(first, axis=1, kind="stable"), low
+
+    def near(self, q: np.ndarray, tau: np.ndarray, low: np.ndarray, turn: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``leaf, queries, distances`` of the leaves whose turn it is (``turn``, a flag per query and leaf) and that may hold a nearer vector than ``tau``.
+
+        Where the stored distances already exclude a leaf, its own distance isn't computed.
+        """
+        z = np.hstack([q, np.zeros((len(q), 1))])
+        objects, reach = self.lift(self.leaf), tau * (1 + SLACK) + SLACK
+        open_ = turn & (low <= reach[:, None])
         for leaf in np.flatnonzero(open_.any(axis=0)):
             rows = np.flatnonzero(open_[:, leaf])
-            d[rows, leaf] = np.linalg.norm(z[rows] - objects[leaf], axis=1)
-            low[rows, leaf] = np.maximum(low[rows, leaf], d[rows, leaf] - self.radius[leaf])
-        return low, d
+            d = np.linalg.norm(z[rows] - objects[leaf], axis=1)
+            may = d - self.radius[leaf] <= reach[rows]
+            if may.any():
+                yield int(leaf), rows[may], d[may]
 
 
 def plant(sample: np.ndarray, ids: np.ndarray, bound: float, leaves: int) -> Tree:
@@ -103,9 +116,16 @@ def matrix(column) -> np.ndarray:
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products: in floating point where all sums fit 53 bits, else in 64-bit integers."""
+    """Integer inner products: in floating point where all sums fit 53 bits, in 64-bit integers where they fit those, else in Python's; an error if a score is beyond 64 bits."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if most < 2**53 else q @ x.T
+    if most < 2**53:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    if most < 2**62:
+        return q @ x.T
+    wide = q.astype(object) @ x.astype(object).T
+    if wide.size and max(abs(int(wide.max())), abs(int(wide.min()))) >= 2**63:
+        raise OverflowError("an inner product is beyond 64 bits")
+    return wide.astype(np.int64)
 
 
 def best_of_page(qid: int, score: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
@@ -185,51 +205,49 @@ def top_k_of_dim(base: DataFrame, queries: DataFrame, dim: int, k: int) -> DataF
     paged = placed.withColumn("page", F.pmod(F.xxhash64("v"), per_leaf)).groupBy("leaf", "page")
     pages = materialize(paged.applyInPandas(pack, "leaf int, vecs binary, fars binary, ids array<array<long>>"), "pages")
 
-    def plan(first: bool):
-        """Query blocks to the leaves they must visit: in the first wave each query's nearest, then the rest within reach."""
+    def plan(start: int, end: int):
+        """Query blocks to the leaves from place ``start`` to ``end`` of each query's order that are within its reach."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for whole in batches:
                 for at in range(0, len(whole), BLOCK):
                     pdf = whole.iloc[at : at + BLOCK]
                     q = matrix(pdf.v)
-                    own = tree.insert(q)[0]
                     lifted = np.sqrt((q * q).sum(axis=1) + tree.bound)
                     known = exact_scores(q, tree.sample).astype(np.float64)
                     known[pdf.query_id.to_numpy()[:, None] == tree.sample_ids[None]] = -np.inf
                     kth = np.sort(known, axis=1)[:, -k] if known.shape[1] >= k else np.full(len(q), -np.inf)
+                    kth = np.fmax(kth, pdf.kth.to_numpy(np.float64))
                     tau = np.sqrt(np.maximum(lifted**2 - 2 * kth, 0))
-                    if not first:
-                        tau = np.fmin(tau, np.sqrt(np.maximum(lifted**2 - 2 * pdf.kth.to_numpy(np.float64), 0)))
-                    tau = np.where(np.isnan(tau), np.inf, tau)
-                    low, d = tree.bounds(q, tau)
-                    mine = np.arange(leaves)[None] == own[:, None]
-                    wanted = mine if first else (low <= tau[:, None] * (1 + SLACK) + SLACK) & ~mine
-                    objects_, z = tree.lift(tree.leaf), np.hstack([q, np.zeros((len(q), 1))])
-                    rows = []
-                    for leaf in np.flatnonzero(wanted.any(axis=0)):
-                        n = np.flatnonzero(wanted[:, leaf])
-                        dist = np.where(np.isnan(d[n, leaf]), np.linalg.norm(z[n] - objects_[leaf], axis=1), d[n, leaf])
-                        rows.append((int(leaf), pdf.query_id.to_numpy(np.int64)[n].tobytes(), q[n].astype(np.int64).tobytes(), tau[n].tobytes(), dist.tobytes()))
+                    order, low = tree.order(q)
+                    turn = np.zeros(low.shape, bool)
+                    np.put_along_axis(turn, order[:, start:end], True, axis=1)
+                    ids = pdf.query_id.to_numpy(np.int64)
+                    rows = [(leaf, ids[n].tobytes(), q[n].astype(np.int64).tobytes(), tau[n].tobytes(), d.tobytes()) for leaf, n, d in tree.near(q, tau, low, turn)]
+                    if (np.take_along_axis(low, order[:, end:], axis=1) <= (tau * (1 + SLACK) + SLACK)[:, None]).any():
+                        rows.append((-1, b"", b"", b"", b""))  # no leaf, but a sign that a later round may visit one
                     yield pd.DataFrame(rows, columns=["at", "qids", "qvecs", "taus", "dists"])
 
         return run
 
     visits = "at int, qids binary, qvecs binary, taus binary, dists binary"
-    found = None
-    for first in (True, False):
-        asked = queries
-        if not first:
-            w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-            own = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-            kth = own.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == k).select(F.col("query_id").alias("qk"), F.col("score").alias("kth"))
-            asked = queries.join(kth, F.col("query_id") == F.col("qk"), "left")
-        visit = materialize(asked.mapInPandas(plan(first), visits), "visits")
+    best = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    start = 0
+    while start < leaves:  # 1, 2, 4, ... of each query's leaves: as many rounds as doublings
+        end = 2 * start + 1
+        kth = best.where(F.col("rn") == k).select(F.col("query_id").alias("qk"), F.col("score").alias("kth")) if start else None
+        asked = queries.withColumn("kth", F.lit(None).cast("long")) if kth is None else queries.join(kth, F.col("query_id") == F.col("qk"), "left").select("query_id", "v", "kth")
+        visit = materialize(asked.mapInPandas(plan(start, end), visits), "visits")
+        if start and visit.isEmpty():
+            break
         with small_batches(spark, 64):
             met = visit.join(pages, F.col("at") == F.col("leaf")).select("qids", "qvecs", "taus", "dists", "vecs", "fars", "ids")
             wave = materialize(met.mapInPandas(search_pages(dim, k), "query_id long, vec_id long, score long"), "wave")
-        found = wave if found is None else found.union(wave)
-    return found
+        found = best.select("query_id", "vec_id", "score").union(wave).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = materialize(found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k), "best")
+        start = end
+    return best.select("query_id", "vec_id", "score")
 
 
 def scan_all(k: int, every: int):
@@ -238,7 +256,7 @@ def scan_all(k: int, every: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, vecs, out = pdf.vec_id.to_numpy(), np.stack([np.asarray(v, np.int64) for v in pdf.v]), []
         for at in np.flatnonzero(ids % every == 0).tolist():
-            score = vecs @ vecs[at]
+            score = exact_scores(vecs[at : at + 1], vecs)[0]
             best: dict[int, int] = {}
             for j in np.lexsort((ids, -score)).tolist():
                 if ids[j] != ids[at]:
@@ -261,10 +279,9 @@ def m_tree_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: floa
     candidates has fewer rows; an empty table gives none.
 
     Index: routing objects are a bounded hash-ordered sample, every vector is inserted below its nearest, and leaves
-    are written as pages of about ``PAGE`` vectors with the stored distances to their routing object. Search: best first in two
-    waves. The leaf a query belongs to gives its k-th distance; the other leaves are visited only where the
-    lower bound from radii and stored parent distances is within it, and inside a page the stored distances
-    exclude vectors before any product is computed. Queries travel in blocks; no pair of rows is shuffled.
+    are written as pages of about ``PAGE`` vectors with the stored distances to their routing object. Search: best first. A query's leaves are ordered by
+    the lower bound from radii and stored parent distances and visited in rounds of 1, 2, 4, ... leaves; each round tightens the k-th distance, a leaf beyond it isn't visited, and the
+    search ends when the bounds of all later leaves are beyond it. Inside a page the stored distances exclude vectors before any product is computed. Components beyond 2**53 after quantizing, and scores beyond 64 bits, are errors. Queries travel in blocks; no pair of rows is shuffled.
     The ``TREES`` most common lengths, and any with more than ``SCANNED`` vectors or ``NUMBERS`` numbers, have an index; all others are scanned in one pass.
     """
     spark = vectors.sparkSession

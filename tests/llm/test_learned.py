@@ -421,6 +421,36 @@ def test_top_k(spark, tmp_path, monkeypatch):
     assert mtree.m_tree_top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_visits_few_leaves_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 8)) * 4
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=8) * 0.05]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name, value in (("PER_LEAF", 12), ("PAGE", 16)):
+        monkeypatch.setattr(mtree, name, value)
+    seen = []
+    keep = mtree.materialize
+    monkeypatch.setattr(mtree, "materialize", lambda df, tag, *a, **k: seen.append((tag, out := keep(df, tag, *a, **k))) or out)
+    assert sorted(tuple(r) for r in mtree.m_tree_top_k(df).select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows)
+    visits = [sum(len(r["qids"]) // 8 for r in out.collect()) for tag, out in seen if tag == "visits"]
+    assert len(visits) > 2 and sum(visits) < 0.7 * 24 * 100  # of 24 queries and 100 leaves
+
+
+def test_scores_beyond_64_bits_are_errors():
+    big = np.array([[2**40, 2**40]], np.int64)
+    with pytest.raises(OverflowError):
+        mtree.exact_scores(big, big)
+    other = np.array([[2**40, -(2**40)]], np.int64)
+    assert mtree.exact_scores(big, other).tolist() == [[0]]  # the parts are beyond 64 bits, the score isn't
+    assert mtree.exact_scores(np.array([[2**30, 3]]), np.array([[2**29, 5]])).tolist() == [[2**59 + 15]]
+
+
+def test_components_that_cannot_be_quantized_are_errors(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="2\\*\\*53"):
+        mtree.m_tree_top_k(df).collect()
+
+
 def test_top_k_of_more_lengths_than_a_thousand(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(50 * i + j, [float(x) for x in rng.integers(-3, 4, size=i)]) for i in range(1, 1101) for j in (0, 0, 1, 2)]
