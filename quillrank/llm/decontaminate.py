@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,8 +20,8 @@ from .simhash import majority
 SHINGLE, SIMILARITY = 5, 0.8
 #: Hamming radius and blocks: two fingerprints within 19 bits share a block up to 1 bit.
 RADIUS, BLOCKS = 19, 10
-#: Benchmark items that one pass over the documents holds; more items take more passes.
-ITEMS = 20_000
+#: Benchmark items, and characters of them, that one pass over the documents holds; more take more passes.
+ITEMS, CHARS = 20_000, 50_000_000
 #: Words by which a window may be off because of words put in or left out before the anchor.
 SHIFT = 2
 TOKEN = re.compile(r"\w+")
@@ -58,6 +59,7 @@ class Items:
     words: list[int] = field(default_factory=list)
     counts: list[Counter] = field(default_factory=list)
     posts: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))
+    fps: list[int] = field(default_factory=list)
     prints: np.ndarray | None = None
     index: dict[tuple[int, int], list[int]] = field(default_factory=lambda: defaultdict(list))
     known: dict[int, np.ndarray] = field(default_factory=dict)
@@ -73,10 +75,11 @@ class Items:
         self.counts.append(Counter(h.tolist()))
         for at, x in enumerate(h.tolist()):
             self.posts[min(SHINGLE, len(code))][x].append((k, at))
-        self.prints = np.append(self.prints if self.prints is not None else np.empty(0, np.uint64), majority(h))
+        self.fps.append(int(majority(h)[0]))
 
     def close(self) -> Items:
-        for k, fp in enumerate([] if self.prints is None else self.prints.tolist()):
+        self.prints = np.array(self.fps, np.uint64)
+        for k, fp in enumerate(self.fps):
             for b, (at, width) in enumerate(BLOCK):
                 self.index[b, fp >> at & (1 << width) - 1].append(k)
         self.posts = {n: dict(p) for n, p in self.posts.items()}
@@ -133,31 +136,43 @@ def scan(text: str | None, items: Items, codes: Codes) -> dict[int, tuple[float,
     return best
 
 
+#: The index of the pass that this Python process last worked on, so that its tasks build it once.
+_held: dict[str, tuple[Items, Codes]] = {}
+
+
+def index_of(name: str, rows: list[tuple[int, str]]) -> tuple[Items, Codes]:
+    if name not in _held:
+        codes, items = Codes(), Items()
+        for item_id, text in rows:
+            items.add(item_id, text, codes)
+        _held.clear()
+        _held[name] = items.close(), codes
+    return _held[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS) -> DataFrame:
     """``doc_id, item_id, similarity, start_word, end_word, bits``: documents that hold a benchmark item.
 
     A row per document row and item with a window of the item's size whose weighted five-word shingles (all
     words, if the item has fewer) reach similarity 0.8; the best window, the first of equals. Words are compared
-    without case and punctuation. Items without a word and null ids are left out; repeated item rows count once; null
+    without case and punctuation. An item of one to four words is found wherever its words stand in a row. Items without a word and null ids are left out; repeated item rows count once; null
     or empty texts match nothing; rows that repeat a document are reported as often; empty tables give no rows.
 
-    The benchmark goes to every task in passes of ``per_pass`` items at most, so what is sent is bounded and no item
+    The benchmark goes to every task in passes of about ``per_pass`` items or ``CHARS`` characters at most, so what is sent is bounded and no item
     is left out; documents are read once per pass and never shuffled.
     """
     spark = docs.sparkSession
     bench = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     bench = materialize(bench, "benchmark")
-    passes = max(1, -(-bench.count() // per_pass))
+    size = bench.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    passes = max(1, -(-size["n"] // per_pass), -(-size["chars"] // CHARS))
     out = None
     for p in range(passes):
         rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()
         held = spark.sparkContext.broadcast([(r[0], r[1]) for r in rows])
 
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            codes, items = Codes(), Items()
-            for item_id, text in held.value:
-                items.add(item_id, text, codes)
-            items.close()
+        def run(batches: Iterator[pd.DataFrame], held=held, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            items, codes = index_of(name, held.value)
             for pdf in batches:
                 got = [(d, items.ids[k], *v) for d, t in zip(pdf.doc_id, pdf.text, strict=True) for k, v in sorted(scan(t, items, codes).items())]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "similarity", "start_word", "end_word", "bits"])

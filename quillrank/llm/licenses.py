@@ -17,7 +17,20 @@ from .common import table
 COVERAGE = 0.8
 TOKEN = re.compile(r"\w+")
 
-#: The notices and permission texts to look for.
+#: The notices and license texts to look for, by their SPDX names.
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_CLAUSES = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+    "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GPL_NOTICE = "you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -27,19 +40,39 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+        "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "GPL-2.0": [f"This program is free software; {_GPL_NOTICE.format('General Public License', '2')}"],
+    "LGPL-2.1": [f"This library is free software; {_GPL_NOTICE.format('Lesser General Public License', '2.1')}"],
+    "LGPL-3.0": [f"This library is free software: {_GPL_NOTICE.format('Lesser General Public License', '3')}"],
+    "AGPL-3.0": [f"This program is free software: {_GPL_NOTICE.format('Affero General Public License', '3')}"],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        f"This program is free software: {_GPL_NOTICE.format('General Public License', '3')}",
     ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ],
+    "BSD-3-Clause": [_BSD_START, f"{_BSD_START}: {_BSD_CLAUSES}{_BSD_THIRD}{_BSD_END}"],
+    "BSD-2-Clause": [f"{_BSD_START}: {_BSD_CLAUSES}{_BSD_END}"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
@@ -52,8 +85,7 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     for k, (_, j) in enumerate(pairs):
         p = bisect_left(tails, j)
         back.append(at[p - 1] if p else -1)
-        tails[p:] = [j, *tails[p + 1 :]]
-        at[p:] = [k, *at[p + 1 :]]
+        tails[p : p + 1], at[p : p + 1] = [j], [k]
     k, out = (at[-1] if at else -1), []
     while k >= 0:
         out.append(pairs[k])
@@ -165,7 +197,7 @@ def scan(text: str | None, templates: Templates, least: float = COVERAGE) -> lis
         first, last = lo + got[0][0], lo + got[-1][0] + 1
         density = len(got) / max(len(wanted), last - first)
         if density >= least:
-            best.append((density, len(got), -first, name, round(len(got) / len(wanted), 6), first, last))
+            best.append((len(got), density, -first, name, round(len(got) / len(wanted), 6), first, last))
     out: list[tuple[str, float, int, int, str]] = []
     for _, _, _, name, coverage, first, last in sorted(best, reverse=True):
         if all(last <= s or first >= e for _, _, s, e, _ in out):
@@ -178,7 +210,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
 
     ``coverage`` is the share of the template's words that the alignment matches; at least ``least`` of them, and of the
     words from the first match to the last, must match. Words are compared without case and punctuation.
-    Where templates overlap, the one that matches most densely is reported. Null and empty texts give no rows; rows that repeat are
+    Where templates overlap, the one that matches most words is reported, of those the densest. A template of one word is never found. Null and empty texts give no rows; rows that repeat are
     reported as often; a null id is kept. A notice repeated in a text is a place of its own each time.
     """
 

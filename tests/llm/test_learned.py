@@ -1,6 +1,8 @@
 """SimHash, components, decontamination, HTML, M-tree, quality, licenses and the pipeline against brute force."""
 
+import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -291,6 +293,27 @@ def test_contaminated(spark, per_pass):
     assert all(r["similarity"] >= 0.8 and r["end_word"] > r["start_word"] for r in got)
 
 
+def test_edits_within_the_similarity_stay_within_the_radius():
+    """Items of 8 to 300 words, edited down to a similarity of 0.8: each is found, and the fingerprints differ in up to nearly all of the radius."""
+    rng, codes, most, close = random.Random(12), decontaminate.Codes(), 0, 0
+    for _ in range(400):
+        words = [f"u{rng.randrange(4000)}" for _ in range(rng.choice((8, 12, 30, 80, 300)))]
+        items = decontaminate.Items()
+        items.add(1, " ".join(words), codes)
+        items.close()
+        text = list(words)
+        for k in rng.sample(range(len(words)), 1 + len(words) // 60):
+            text[k if rng.random() < 0.5 else rng.choice((0, 1, -1, -2))] = "other"
+        grams = lambda ws: Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+        similarity = decontaminate.weighted_similarity(grams(text), grams(words))
+        found = decontaminate.scan(" ".join(["before", "it", *text, "and", "after"]), items, codes)
+        if similarity >= 0.8:
+            assert found and found[0][0] >= similarity
+            most, close = max(most, found[0][3]), close + (similarity < 0.9)
+        assert not found or found[0][0] >= 0.8
+    assert close > 50 and 10 <= most <= decontaminate.RADIUS
+
+
 def test_decontamination_stage(spark, sf_dir):
     bench = [r["text"] for r in table(spark, sf_dir, "benchmark").limit(3).collect()]
     df = frame(spark, [(1, f"Some words. {bench[0]} And more."), (2, "a clean text of a few words"), (None, bench[1]), (3, None)])
@@ -383,7 +406,6 @@ def test_marks_and_shapes(page, text):
 
 def test_pages_table(spark, sf_dir):
     import html
-    import re
 
     got = {r["page_id"]: r["text"] for r in html_template.op2_html_extract(spark, sf_dir).collect()}
     for r in table(spark, sf_dir, "pages").collect():
@@ -519,6 +541,60 @@ def test_patience_alignment():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
 
 
+def test_rising_is_a_longest_rising_run():
+    rng = random.Random(4)
+    for _ in range(200):
+        pairs = list(enumerate(rng.sample(range(12), rng.randrange(12))))
+        got = licenses.rising(pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False)) and set(got) <= set(pairs)
+        longest = [1] * len(pairs)
+        for k in range(len(pairs)):
+            longest[k] = 1 + max((longest[i] for i in range(k) if pairs[i][1] < pairs[k][1]), default=0)
+        assert len(got) == max(longest, default=0)
+
+
+def common_run(a, b):
+    """Length of the longest common subsequence."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, best[j + 1] = best[j + 1], last + 1 if x == y else max(best[j + 1], best[j])
+    return best[-1]
+
+
+def test_places_against_all_windows():
+    """Random texts with an edited template somewhere: what is found is what some window of all holds."""
+    rng = random.Random(7)
+    template = [f"t{k}" for k in range(12)]
+    known = licenses.Templates({"L": [" ".join(template)]})
+    hits = 0
+    for _ in range(150):
+        place = [w for w in template if rng.random() > rng.choice((0, 0.1, 0.25))]
+        for _ in range(rng.randrange(4)):
+            place.insert(rng.randrange(len(place) + 1), f"n{rng.randrange(9)}")
+        words = [f"n{rng.randrange(9)}" for _ in range(8)] + place + [f"n{rng.randrange(9)}" for _ in range(8)]
+        found = licenses.scan(" ".join(words), known)
+        windows = ((i, j) for i in range(len(words)) for j in range(i + 1, len(words) + 1))
+        want = any((n := common_run(words[i:j], template)) >= 0.8 * 12 and n >= 0.8 * (j - i) for i, j in windows)
+        assert bool(found) == want
+        hits += want
+        for _, coverage, first, last, _ in found:
+            assert common_run(words[first:last], template) == round(coverage * 12)
+    assert 40 < hits < 140
+
+
+def test_whole_license_texts():
+    known = licenses.Templates(licenses.TEMPLATES)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            got = licenses.scan(f"The beginning.\n{text}\nThe end.", known)
+            assert [(g[0], g[1]) for g in got] == [(name, 1.0)], name
+    whole = licenses.TEMPLATES["MIT"][3].split()
+    edited = " ".join(w for k, w in enumerate(whole) if k % 9)
+    assert [g[0] for g in licenses.scan(edited, known)] == ["MIT"]
+
+
 def test_license_scan(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     mit = licenses.TEMPLATES["MIT"][2]
@@ -603,3 +679,62 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} <= ids
     benchmark = {r["text"] for r in table(spark, big, "benchmark").collect()}
     assert not [1 for r in out.select("text").collect() if any(b in r["text"] for b in benchmark)]
+
+
+def test_pipeline_against_brute_force(spark, sf_dir):
+    """Each stage on its own input over all documents of the smallest tables, by plain Python."""
+    import corpus_pipeline
+
+    docs = table(spark, sf_dir, "documents")
+    labels, bench = table(spark, sf_dir, "labels"), [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
+    keep = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    text_of = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    rules, intercept = quality_rules.learn(docs, labels)
+    wide, names = quality_rules.with_statistics(docs)
+    rows = wide.select("doc_id", *names).toPandas()
+    x = rows[names].to_numpy(float)
+    good = intercept + sum(r.weight * r.fires(x) for r in rules) >= 0
+    one = keep(stages["quality_classifier"](spark, docs, sf_dir))
+    assert set(text_of(one)) == set(rows.doc_id[good].tolist()) and 0 < good.sum() < len(rows)
+
+    two = keep(stages["line_dedup"](spark, one, sf_dir))
+    key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\f\r"))
+    holders = {}
+    for i, t in text_of(one).items():
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).add(i)
+    stays = lambda i, line: len(key(line)) < 10 or min(holders[key(line)]) == i
+    assert text_of(two) == {i: t if t is None else "\n".join(x for x in t.split("\n") if stays(i, x)) for i, t in text_of(one).items()}
+
+    three = keep(stages["simhash_near_dedup"](spark, two, sf_dir))
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t in text_of(two).items()}
+    alike = lambda i, j: (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0) >= 0.8
+    left, gone = set(text_of(three)), set(sets) - set(text_of(three))
+    assert gone and not [(i, j) for i in left for j in left if i < j and alike(i, j)]
+    assert all(any(alike(i, j) for j in sets if j < i) for i in gone)
+
+    four = keep(stages["benchmark_decontamination"](spark, three, sf_dir))
+    leaks = {d for d, _ in brute_leaks(list(text_of(three).items()), bench)}
+    assert set(text_of(four)) == left - leaks
+
+    last = corpus_pipeline.run(spark, sf_dir).collect()
+    counts = Counter(r["doc_id"] for r in last)
+    by_source, share = {}, {}
+    for r in four.collect():
+        by_source[r["source"]] = by_source.get(r["source"], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    ordered = sorted(by_source, key=lambda s: (s is None, s))
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(ordered)}
+    rest, open_ = 1.5 * sum(by_source.values()), set(ordered)
+    while open_:
+        level = rest / sum(weights[s] for s in open_)
+        full = {s for s in open_ if weights[s] * level > 2 * by_source[s]}
+        share |= {s: 2.0 * by_source[s] if s in full else weights[s] * level for s in full or open_}
+        rest -= sum(share[s] for s in full)
+        open_ = open_ - full if full else set()
+    for r in four.collect():
+        rate = share[r["source"]] / by_source[r["source"]] if by_source[r["source"]] else 0.0
+        drawn = int(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        assert counts[r["doc_id"]] == int(rate) + (drawn < rate - int(rate))
+    assert set(counts) <= set(text_of(four))
