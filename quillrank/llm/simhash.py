@@ -8,6 +8,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,6 +195,8 @@ def op6_simhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 #: Words of a wide fingerprint; the least similarity of near copies; a radius that no two sets of that similarity exceed; rows of a block.
 WIDE, NEAR, LOOSE, WINDOW = 8, 0.8, 160, 2048
+#: Common shingles that are put last in the order of all, at most (16 bytes each), and rounds of looking for them. Neither bears on what is found.
+HOT, ROUNDS = 1_000_000, 6
 MIX = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(WIDE)]
 TOKEN = re.compile(r"\w+")
 
@@ -342,11 +345,66 @@ def cell_links(rows: DataFrame, radius: int, block: int, links=None) -> DataFram
     return cells.mapInPandas(links or run_links(radius), LINKS)
 
 
-def shared(keyed: DataFrame) -> DataFrame:
+def counted(keyed: DataFrame) -> DataFrame:
+    """``k, n``: the keys that several rows of ``keyed(key, rep)`` have, and how many."""
+    return materialize(keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+
+
+def shared(keyed: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``key, rep`` of the rows whose key another row has too."""
-    keyed = materialize(keyed, "keyed")
-    more = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"))
-    return materialize(keyed.join(materialize(more, "more"), F.col("key") == F.col("k")).select("key", "rep"), "shared")
+    if counts is None:
+        keyed = materialize(keyed, "keyed")
+        counts = counted(keyed)
+    return materialize(keyed.join(counts.select("k"), F.col("key") == F.col("k")).select("key", "rep"), "shared")
+
+
+def prefix_length(size: int, least: float) -> int:
+    """How many shingles, the first in an order of all, two sets that share ``least`` of their union have one in common of."""
+    return size - ceil(round(least * size, 6)) + 1 if size else 0
+
+
+def rare_prefix(h: np.ndarray, hot: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """The prefix of a set in the order that puts the shingles ``hot`` (sorted) after all others, the rarest of them first."""
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    known = hot[at] == h
+    last = h[known][np.lexsort((h[known], often[at[known]]))]
+    return np.concatenate([h[~known], last])[: prefix_length(len(h), least)]
+
+
+def rare_first(keyed: DataFrame, sets_of, least: float, window: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """``keyed(key, rep)``, the prefixes of all sets in the order of their hashes, in an order that puts common shingles last; and its ``counted``.
+
+    A prefix filter is complete in any order that is the same for all sets. So shingles that over ``window`` prefixes hold are moved to the end, and
+    only the sets whose prefix holds one of them are read again (``sets_of``: ``rep, set`` of a table of ``rep``). Of what comes up in their place a like share may be common, hence up to
+    ROUNDS. A passage that a third of all texts quote is a key of few then, and not one whose rows all meet. At most ``most`` shingles, the commonest,
+    are moved: that bounds what is sent to tasks, and has no bearing on what is found.
+    """
+    spark = keyed.sparkSession
+    hot, often = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for _ in range(ROUNDS):
+        counts = counted(keyed)
+        top = counts.where(F.col("n") > window).orderBy(F.desc("n"), "k").limit(most).toArrow()
+        key, n = top["k"].to_numpy().view(np.uint64), top["n"].to_numpy()
+        fresh = np.flatnonzero(~np.isin(key, hot))[: most - len(hot)]
+        if not len(fresh):
+            return keyed, counts
+        hot, often = np.concatenate([hot, key[fresh]]), np.concatenate([often, n[fresh]])
+        order = np.argsort(hot)
+        hot, often = hot[order], often[order]
+        held = spark.sparkContext.broadcast((hot, often))
+
+        def moved(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                some = [rare_prefix(np.frombuffer(x, np.uint64), *held.value, least) for x in pdf.set]
+                yield pd.DataFrame({"key": np.concatenate([*some, np.empty(0, np.uint64)]).view(np.int64), "rep": np.repeat(pdf.rep.to_numpy(), [len(x) for x in some])})
+
+        # sets without a hot shingle in their prefix have the same prefix in the new order
+        common = spark.createDataFrame(pa.table({"k": hot.view(np.int64)}))
+        met = keyed.join(common, F.col("key") == F.col("k"), "left_semi").select(F.col("rep").alias("m")).distinct()
+        met = materialize(met, "met")
+        again = sets_of(met.select(F.col("m").alias("rep"))).mapInPandas(moved, "key long, rep long")
+        keyed = materialize(keyed.join(met, F.col("rep") == F.col("m"), "left_anti").union(again), "keyed")
+    return keyed, counted(keyed)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, least: float = NEAR, window: int = WINDOW) -> DataFrame:
@@ -354,7 +412,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, least: float = NEAR, window: in
 
     Similarity is the share of common five-word shingles (case and punctuation aside) of two texts, and is judged on the
     whole sets. Candidates are complete: in any order of all shingles, here that of their hashes, two sets that share
-    ``least`` of their union have a common shingle among the first ``size - ceil(least * size) + 1`` of each (prefix filter).
+    ``least`` of their union have a common shingle among the first ``size - ceil(least * size) + 1`` of each (prefix filter; ``rare_first`` moves common shingles out of it).
     First, texts with the same first shingle are compared in a sorted run, each with the rows before it, and all but one of
     what is linked goes, so that a large group of copies is small in what follows. Then those with a common shingle in their prefixes are
     compared by 512-bit fingerprints at a radius so wide that it only spares work: a bit of two sets of similarity 0.8 differs
@@ -369,7 +427,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, least: float = NEAR, window: in
         return xxhash.xxh128_digest(h.tobytes())
 
     def prefix(h: np.ndarray) -> bytes:
-        return h[: len(h) - ceil(round(least * len(h), 6)) + 1].tobytes() if len(h) else b""
+        return h[: prefix_length(len(h), least)].tobytes()
 
     def wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -404,7 +462,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, least: float = NEAR, window: in
     run = with_sets(shared(reps.select("rep", "prefix").mapInPandas(first, "key long, rep long"))).repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
     links = materialize(run.mapInPandas(set_links(least, block), LINKS), "links")
     left = materialize(reps.join(absorbed_by(links), F.col("rep") == F.col("node"), "left_anti"), "left")
-    rows = shared(left.select("rep", "prefix").mapInPandas(each, "key long, rep long"))
+    keyed = materialize(left.select("rep", "prefix").mapInPandas(each, "key long, rep long"), "keyed")
+    rows = shared(*rare_first(keyed, lambda of: with_sets(of.select(F.lit(0).cast("long").alias("key"), "rep")), least, window, HOT))
     rows = rows.join(left.select(F.col("rep").alias("r"), "fp"), F.col("rep") == F.col("r")).select("key", "rep", "fp")
     loose = materialize(cell_links(rows, LOOSE, window), "loose")
     grouped = materialize(connected_components(loose.select("a", "b")).select(F.col("root").alias("key"), F.col("node").alias("rep")), "grouped")

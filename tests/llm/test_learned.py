@@ -220,6 +220,31 @@ def test_near_duplicates_of_block_edits_and_appended_text(spark):
     assert 40 < len(near) < 120 and gone == near
 
 
+def test_common_shingles_come_last(spark, monkeypatch):
+    """Texts that share a passage meet by rare shingles; no link is lost, also if only some of the common ones are moved."""
+    rng = random.Random(8)
+    vocab = ["word" + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    passage = [rng.choice(vocab) for _ in range(70)]
+    rows = []
+    for i in range(90):
+        own = [rng.choice(vocab) for _ in range(120)]
+        rows += [(i, " ".join(own + passage)), (1000 + i, " ".join(own[:-3] + passage + ["more", "words"]))]
+    sets = {i: simhash.shingle_set(t, 5) for i, t in rows}
+    first = [(int(k), i) for i, h in sets.items() for k in h[: simhash.prefix_length(len(h), 0.8)].view(np.int64)]
+    of = spark.createDataFrame([(i, h.tobytes()) for i, h in sets.items()], "rep long, set binary")
+    keyed, counts = simhash.rare_first(spark.createDataFrame(first, "key long, rep long"), lambda met: of.join(met, "rep", "left_semi"), 0.8, 8, simhash.HOT)
+    got = [(r.key, r.rep) for r in keyed.collect()]
+    assert max(Counter(k for k, _ in first).values()) > 100 and max(Counter(k for k, _ in got).values()) <= 8
+    assert {r.k: r.n for r in counts.collect()} == {k: n for k, n in Counter(k for k, _ in got).items() if n > 1}
+    assert Counter(i for _, i in got) == Counter(i for _, i in first)
+    pairs = {(a, b) for a in sets for b in sets if a < b and simhash.similar(sets[a], sets[b], 0.8)}
+    mine = {i: {k for k, j in got if j == i} for i in sets}
+    assert len(pairs) >= 90 and all(mine[a] & mine[b] for a, b in pairs)
+    monkeypatch.setattr(simhash, "HOT", 20)
+    gone = {r.doc_id for r in simhash.near_duplicates(frame(spark, rows).repartition(5), window=8).collect()}
+    assert gone == {b for _, b in pairs}
+
+
 def test_cells_meet_every_pair(spark):
     """Links of a key of many blocks connect what brute force connects."""
     rng = np.random.default_rng(2)
