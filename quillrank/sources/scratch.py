@@ -44,19 +44,32 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None,
     if compression:
         writer = writer.option("compression", compression)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may have ended before; its folder is then left to its owner
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def discard(*spent: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave and that no result still to be computed reads; other frames are left alone."""
+    for df in spent:
+        path = df.__dict__.get("_scratch")
+        if path in _written:
+            _delete(path, _written.pop(path))
 
 
 def release() -> None:
     """Delete all that was written here so far; results that read it must be stored before. Runs at the end of the process, too."""
     while _written:
-        path, spark = _written.popitem()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session may have ended before; its folder is then left to its owner
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        _delete(*_written.popitem())
 
 
 atexit.register(release)

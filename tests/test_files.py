@@ -1,9 +1,10 @@
+import os
 import zipfile
 
 from pyspark.sql import functions as F
 
 from quillrank.operators import store
-from quillrank.sources import archives, readers, writers
+from quillrank.sources import archives, readers, scratch, writers
 
 
 def test_tsv_store(spark, tmp_path):
@@ -99,3 +100,11 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
         assert "spark.checkpoint.dir" in str(e)
     else:
         raise AssertionError("a cluster without a shared folder was accepted")
+
+
+def test_discard_deletes_scratch_tables_alone(spark):
+    kept, spent = (scratch.materialize(spark.range(3), x) for x in ("kept", "spent"))
+    plain = spark.range(2)
+    scratch.discard(spent, spent, plain, spent.withColumnRenamed("id", "x"))
+    assert kept.count() == 3 and plain.count() == 2
+    assert not os.path.exists(spent._scratch.removeprefix("file:")) and os.path.exists(kept._scratch.removeprefix("file:"))
