@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize, shared_dir  # noqa: F401
+from ..sources.scratch import discard, materialize, shared_dir  # noqa: F401
 
 #: The ASCII white space that the contracts name: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"

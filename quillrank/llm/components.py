@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         hook = materialize(least.select("u", F.least(F.col("m"), own)["v"].alias("to")), "hooks")
         maps.append(hook)
         ends = [hook.select(F.col("u").alias(f"u{x}"), F.col("to").alias(f"to{x}")) for x in "ab"]
-        current = materialize(
+        rewritten = materialize(
             current.join(ends[0], F.col("a") == F.col("ua"))
             .join(ends[1], F.col("b") == F.col("ub"))
             .where("toa <> tob")
@@ -77,9 +77,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
+        discard(current)
+        current = rewritten
     if not maps:
         return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = maps[0].select(F.col("u").alias("node"), F.col("to").alias("root"))
     for hook in maps[1:]:
         out = out.join(hook, F.col("root") == F.col("u"), "left").select("node", F.coalesce("to", "root").alias("root"))
-    return materialize(out, "roots")
+    out = materialize(out, "roots")
+    discard(current, *maps)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, UPPER, ascii_lower, materialize, table
+from .common import LOWER, SPACES, UPPER, ascii_lower, discard, materialize, table
 
 MIN_CHARS = 10
 #: A line is hot if it has this share of all lines, judged by about so many sampled ones.
@@ -62,6 +62,7 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     run = W.partitionBy("_h1", "_h2", "_run").orderBy("doc_id", "_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     streamed = ranged.withColumn("_first", F.first("doc_id").over(run))
     streamed = materialize(streamed.where((F.col("_run") >= 0) | (F.col("doc_id") > F.col("_first"))), "streamed")
+    discard(hashes, hot)
     split = streamed.where("_run >= 0")
     firsts = split.groupBy("_h1", "_h2").agg(F.min("_first").alias("_least")).select(F.col("_h1").alias("_k1"), F.col("_h2").alias("_k2"), "_least")
     place = ["doc_id", "_th", "_pos"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import materialize, table
+from .common import discard, materialize, table
 from .components import LocalUnion, connected_components
 
 BITS, RADIUS, SEGMENTS = 64, 2, 7
@@ -351,11 +351,13 @@ def counted(keyed: DataFrame) -> DataFrame:
 
 
 def shared(keyed: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """``key, rep`` of the rows whose key another row has too."""
+    """``key, rep`` of the rows whose key another row has too. What was written for ``keyed`` and ``counts`` is deleted."""
     if counts is None:
         keyed = materialize(keyed, "keyed")
         counts = counted(keyed)
-    return materialize(keyed.join(counts.select("k"), F.col("key") == F.col("k")).select("key", "rep"), "shared")
+    out = materialize(keyed.join(counts.select("k"), F.col("key") == F.col("k")).select("key", "rep"), "shared")
+    discard(keyed, counts)
+    return out
 
 
 def prefix_length(size: int, least: float) -> int:
@@ -403,7 +405,9 @@ def rare_first(keyed: DataFrame, sets_of, least: float, window: int, most: int)
         met = keyed.join(common, F.col("key") == F.col("k"), "left_semi").select(F.col("rep").alias("m")).distinct()
         met = materialize(met, "met")
         again = sets_of(met.select(F.col("m").alias("rep"))).mapInPandas(moved, "key long, rep long")
-        keyed = materialize(keyed.join(met, F.col("rep") == F.col("m"), "left_anti").union(again), "keyed")
+        changed = materialize(keyed.join(met, F.col("rep") == F.col("m"), "left_anti").union(again), "keyed")
+        discard(keyed, counts, met)
+        keyed = changed
     return keyed, counted(keyed)
 
 
@@ -454,23 +458,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, least: float = NEAR, window: in
     reps = fps.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("prefix").alias("prefix"))
     # an id with several texts is one representative per text
     reps = materialize(reps, "reps")
+    discard(fps)
+    texts = materialize(reps.select(F.col("rep").alias("r"), "digest"), "digests")
 
     def with_sets(of: DataFrame) -> DataFrame:
-        known = of.join(reps.select(F.col("rep").alias("r"), "digest"), F.col("rep") == F.col("r")).select("key", "rep", "digest")
+        known = of.join(texts, F.col("rep") == F.col("r")).select("key", "rep", "digest")
         return named.join(known, F.col("doc_id") == F.col("rep")).select("key", "rep", "digest", "text").mapInPandas(filled, "key long, rep long, set binary")
 
-    run = with_sets(shared(reps.select("rep", "prefix").mapInPandas(first, "key long, rep long"))).repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    met = shared(reps.select("rep", "prefix").mapInPandas(first, "key long, rep long"))
+    run = with_sets(met).repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
     links = materialize(run.mapInPandas(set_links(least, block), LINKS), "links")
     left = materialize(reps.join(absorbed_by(links), F.col("rep") == F.col("node"), "left_anti"), "left")
+    discard(met, links, reps)
     keyed = materialize(left.select("rep", "prefix").mapInPandas(each, "key long, rep long"), "keyed")
-    rows = shared(*rare_first(keyed, lambda of: with_sets(of.select(F.lit(0).cast("long").alias("key"), "rep")), least, window, HOT))
-    rows = rows.join(left.select(F.col("rep").alias("r"), "fp"), F.col("rep") == F.col("r")).select("key", "rep", "fp")
+    held = shared(*rare_first(keyed, lambda of: with_sets(of.select(F.lit(0).cast("long").alias("key"), "rep")), least, window, HOT))
+    rows = held.join(left.select(F.col("rep").alias("r"), "fp"), F.col("rep") == F.col("r")).select("key", "rep", "fp")
     loose = materialize(cell_links(rows, LOOSE, window), "loose")
+    discard(held)
     grouped = materialize(connected_components(loose.select("a", "b")).select(F.col("root").alias("key"), F.col("node").alias("rep")), "grouped")
-    exact = materialize(cell_links(materialize(with_sets(grouped), "sets"), 0, block, set_links(least)), "exact")
+    sets = materialize(with_sets(grouped), "sets")
+    exact = materialize(cell_links(sets, 0, block, set_links(least)), "exact")
     keep = left.join(absorbed_by(exact), F.col("rep") == F.col("node"), "left_anti")
     keep = materialize(keep.select("rep").distinct(), "keep")
-    return fps.join(keep, F.col("doc_id") == F.col("rep"), "left_anti").select("doc_id")
+    discard(left, loose, grouped, sets, exact, texts)
+    return named.select("doc_id").join(keep, F.col("doc_id") == F.col("rep"), "left_anti")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
