@@ -212,6 +212,13 @@ def widen(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` a few at a time, so that what is made of whole texts is held for few of them."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def wide_majority(h: np.ndarray) -> bytes:
     if not len(h):
         return bytes(8 * WIDE)
@@ -396,7 +403,7 @@ def rare_first(keyed: DataFrame, sets_of, least: float, window: int, most: int)
         held = spark.sparkContext.broadcast((hot, often))
 
         def moved(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in sliced(batches):
                 some = [rare_prefix(np.frombuffer(x, np.uint64), *held.value, least) for x in pdf.set]
                 yield pd.DataFrame({"key": np.concatenate([*some, np.empty(0, np.uint64)]).view(np.int64), "rep": np.repeat(pdf.rep.to_numpy(), [len(x) for x in some])})
 
@@ -434,7 +441,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, least: float = NEAR, window: in
         return h[: prefix_length(len(h), least)].tobytes()
 
     def wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             sets = [shingle_set(t, n) for t in pdf.text]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "digest": [digest(h) for h in sets], "fp": [wide_majority(h) for h in sets], "prefix": [prefix(h) for h in sets]})
 
@@ -444,11 +451,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, least: float = NEAR, window: in
             yield pd.DataFrame({"key": np.array([np.frombuffer(x[:8], np.int64)[0] for x in some.prefix], np.int64), "rep": some.rep})
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             yield pd.DataFrame({"key": np.frombuffer(b"".join(pdf.prefix), np.int64), "rep": np.repeat(pdf.rep.to_numpy(), pdf.prefix.map(len).to_numpy() // 8)})
 
     def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in sliced(batches):
             sets = [shingle_set(t, n) for t in pdf.text]
             same = np.array([digest(h) == d for h, d in zip(sets, pdf.digest, strict=True)], bool)  # an id may have several texts
             yield pd.DataFrame({"key": pdf.key, "rep": pdf.rep, "set": [h.tobytes() for h in sets]})[same]
