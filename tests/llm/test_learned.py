@@ -220,6 +220,52 @@ def test_near_duplicates_of_block_edits_and_appended_text(spark):
     assert 40 < len(near) < 120 and gone == near
 
 
+def test_near_duplicates_by_the_pigeonring(spark, monkeypatch):
+    """Copies with a SimHash fingerprint within 2 bits go by it alone: no first shingle is shared, and the prefixes never see them."""
+    rng = random.Random(13)
+    vocab = ["word" + "".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    word = lambda h: np.frombuffer(simhash.wide_majority(h), np.uint64)[0]
+    rows, copies = [], set()
+    while len(copies) < 6:
+        i = len(copies)
+        base = [rng.choice(vocab) for _ in range(1500)]
+        copy = base + [rng.choice(vocab) for _ in range(8)]
+        while not (a := simhash.shingle_set(" ".join(base), 5))[0] > (b := simhash.shingle_set(" ".join(copy), 5))[0]:
+            copy[-8:] = [rng.choice(vocab) for _ in range(8)]
+        if 0 < np.bitwise_count(word(a) ^ word(b)) <= 2:
+            rows += [(i, " ".join(base)), (1000 + i, " ".join(copy))]
+            copies.add(1000 + i)
+    seen, rare_first = set(), simhash.rare_first
+
+    def watched(keyed, *args):
+        seen.update(r.rep for r in keyed.select("rep").distinct().collect())
+        return rare_first(keyed, *args)
+
+    monkeypatch.setattr(simhash, "rare_first", watched)
+    gone = {r.doc_id for r in simhash.near_duplicates(frame(spark, rows).repartition(5)).collect()}
+    assert gone == copies and seen == set(range(6))
+
+
+def test_ring_groups(spark):
+    """Rows that a 64-bit word of their fingerprints links are grouped, equal words included; rows without such a word are left out."""
+    rng = random.Random(17)
+    prints = [[rng.getrandbits(64) for _ in range(simhash.WIDE)] for _ in range(60)]
+    for k in range(60):
+        of, fp = prints[rng.randrange(len(prints))], [rng.getrandbits(64) for _ in range(simhash.WIDE)]
+        lane = k % simhash.WIDE
+        fp[lane] = of[lane]
+        for b in rng.sample(range(64), k % 4):
+            fp[lane] ^= 1 << b
+        prints.append(fp)
+    near = [(i, j) for i in range(120) for j in range(i) if any((a ^ b).bit_count() <= 2 for a, b in zip(prints[i], prints[j], strict=True))]
+    df = spark.createDataFrame([(i, np.array(fp, np.uint64).tobytes()) for i, fp in enumerate(prints)], "rep long, fp binary")
+    groups = {}
+    for r in simhash.ring_groups(df).collect():
+        groups.setdefault(r.key, []).append(r.rep)
+    assert len(near) > 40 and {i for g in groups.values() for i in g} == {i for pair in near for i in pair}
+    assert union_find(120, [(g[0], i) for g in groups.values() for i in g]) == union_find(120, near)
+
+
 def test_common_shingles_come_last(spark, monkeypatch):
     """Texts that share a passage meet by rare shingles; no link is lost, also if only some of the common ones are moved."""
     rng = random.Random(8)
