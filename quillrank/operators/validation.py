@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 LINE = r"^(\S+) \[([0-9,]*)\]$"
 
 
@@ -35,9 +37,10 @@ def validate_lines(lines: DataFrame, sizes: DataFrame, id_column: str, keys: lis
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with ``idx`` from 1 in the order of ``order``.
 
-    Positions come from a count per range partition and a row number inside it, so no task sorts all rows.
+    Positions come from a count per range partition and a row number inside it, so no task sorts all rows. The partitions are written once and read by
+    both: ranges rest on a sample and adaptive execution joins small partitions, so a second run of the same deal would cut elsewhere.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select(F.col("_part").alias("_p"), before.alias("_before")))  # a row per partition

@@ -135,6 +135,20 @@ def test_numbered_and_order(spark):
     assert [(r["expected"], r["got"], r["is_valid"]) for r in got] == [("b", "b", True), ("a", "c", False), ("c", "a", False), (None, "d", False)]
 
 
+def test_numbered_counts_the_partitions_that_it_numbers(spark):
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    old = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        wide = spark.range(0, 60_000, 1, 2).select("id", F.sha2(F.col("id").cast("string"), 512).alias("ballast"))
+        got = validation.numbered(wide, ["id"]).where("length(ballast) = 128 and idx = id + 1")
+        assert got.count() == 60_000
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_a_candidate_without_a_vector_or_with_a_bad_one_scores_zero(spark):
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0])], "article_id long, vector array<double>")
     shown = spark.createDataFrame([(1, p, a) for p, a in enumerate([1, 2, 3, 4, 5])], "imp long, pos int, article_id long")
