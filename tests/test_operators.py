@@ -1,7 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quillrank.operators import bm25, bootstrap, metrics, profiling, rankers, validation, vectors
 from quillrank.operators.store import dedup, flatten, temporal_split
+from quillrank.sources.readers import PLACE, read_tsv
+from quillrank.sources.writers import write_submission
 
 SCORES = [(1, p, s, y) for p, (s, y) in enumerate(zip([3.0, 1.0, 3.0, 0.0], [0, 1, 1, 0], strict=True))]
 
@@ -135,18 +138,28 @@ def test_numbered_and_order(spark):
     assert [(r["expected"], r["got"], r["is_valid"]) for r in got] == [("b", "b", True), ("a", "c", False), ("c", "a", False), (None, "d", False)]
 
 
-def test_numbered_counts_the_partitions_that_it_numbers(spark):
+@pytest.fixture
+def many_partitions(spark):
     conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
     old = {c: spark.conf.get(c) for c in conf}
-    try:
-        for c, v in conf.items():
-            spark.conf.set(c, v)
-        wide = spark.range(0, 60_000, 1, 2).select("id", F.sha2(F.col("id").cast("string"), 512).alias("ballast"))
-        got = validation.numbered(wide, ["id"]).where("length(ballast) = 128 and idx = id + 1")
-        assert got.count() == 60_000
-    finally:
-        for c, v in old.items():
-            spark.conf.set(c, v)
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    yield
+    for c, v in old.items():
+        spark.conf.set(c, v)
+
+
+def test_numbered_counts_the_partitions_that_it_numbers(spark, many_partitions):
+    wide = spark.range(0, 60_000, 1, 2).select("id", F.sha2(F.col("id").cast("string"), 512).alias("ballast"))
+    got = validation.numbered(wide, ["id"]).where("length(ballast) = 128 and idx = id + 1")
+    assert got.count() == 60_000
+
+
+def test_lines_of_a_tsv_are_numbered_whole(spark, many_partitions, tmp_path):
+    rows = spark.range(0, 60_000, 1, 2).select(F.concat_ws("\t", "id", F.sha2(F.col("id").cast("string"), 512)).alias("line"), "id")
+    write_submission(rows, ["id"], str(tmp_path))
+    back = validation.numbered(read_tsv(spark, str(tmp_path), "id long, hash string", places=True), PLACE)
+    assert back.where("length(hash) = 128 and idx = id + 1").count() == 60_000
 
 
 def test_a_candidate_without_a_vector_or_with_a_bad_one_scores_zero(spark):
