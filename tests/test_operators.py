@@ -162,6 +162,13 @@ def test_lines_of_a_tsv_are_numbered_whole(spark, many_partitions, tmp_path):
     assert back.where("length(hash) = 128 and idx = id + 1").count() == 60_000
 
 
+def test_order_is_checked_over_many_partitions(spark, many_partitions):
+    source = spark.range(0, 60_000, 1, 2).select(F.sha2(F.col("id").cast("string"), 512).alias("id"), F.lit(2).alias("n_candidates"), F.col("id").alias("at"))
+    lines = source.select(F.concat("id", F.lit(" [2,1]"), F.when(F.col("at") % 10 == 0, "x").otherwise("")).alias("line"), "at")
+    got = validation.validate_order(lines, ["at"], source, ["at"]).groupBy("is_valid").count().collect()
+    assert {(r["is_valid"], r["count"]) for r in got} == {(True, 54_000), (False, 6_000)}
+
+
 def test_a_candidate_without_a_vector_or_with_a_bad_one_scores_zero(spark):
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (4, [float("nan"), 0.0]), (5, [float("inf"), 0.0])], "article_id long, vector array<double>")
     shown = spark.createDataFrame([(1, p, a) for p, a in enumerate([1, 2, 3, 4, 5])], "imp long, pos int, article_id long")
