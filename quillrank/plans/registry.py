@@ -308,7 +308,8 @@ def rank_bm25_candidates(m: Model) -> DataFrame:
 
 
 def _bm25_top(m: Model) -> DataFrame:
-    return bm25.retrieve(_terms(m), bm25.weighted_postings(m.texts), m.past, IMP)
+    terms = materialize(_terms(m), "asked-terms")
+    return bm25.retrieve(terms, bm25.weighted_postings(m.texts, terms), m.past, IMP)
 
 
 @query

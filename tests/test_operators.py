@@ -192,6 +192,25 @@ def test_retrieval_in_many_cells(spark, monkeypatch):
     assert len(whole) == 60 and not {1, 8} & {r[1] for r in whole if r[0] == 1}
 
 
+def test_retrieval_asks_a_question_once_and_again_where_a_shard_held_back(spark, monkeypatch):
+    docs = spark.range(90).select(F.col("id").alias("article_id"), F.concat(F.lit("word common "), F.expr("repeat('t', cast(id % 7 + 2 as int))")).alias("text"))
+    terms = spark.createDataFrame([(i, t) for i in range(40) for t in ("common", "t" * (i % 4 + 2))], "imp long, term string")
+    past = spark.createDataFrame([(5, 1, 0), (6, 8, 0)], "imp long, article_id long, age int")
+    whole, asked = bm25.weighted_postings(docs), []
+    some = bm25.weighted_postings(docs, terms)
+    wanted = {r["term"] for r in terms.select("term").distinct().collect()}
+    key = lambda df: sorted((r["term"], r["article_id"], round(r["weight"], 9)) for r in df.collect())
+    assert key(some) == key(whole.where(F.col("term").isin(*wanted))) and len(key(some)) < len(key(whole))
+    once = sorted(map(tuple, bm25.retrieve(terms, whole, past, ["imp"], k=12).collect()))
+    best = bm25._best
+    monkeypatch.setattr(bm25, "_best", lambda questions, *a: asked.append((questions.count(), a[3])) or best(questions, *a))
+    monkeypatch.setattr(bm25, "SHARD", 20)
+    monkeypatch.setattr(bm25, "SHARD_MOST", 20)
+    monkeypatch.setattr(bm25, "_first", lambda k, shards: 3)
+    assert sorted(map(tuple, bm25.retrieve(terms, some, past, ["imp"], k=12).collect())) == once
+    assert len(once) == 40 * 12 and asked[0] == (6, 3) and len(asked) == 2 and asked[1][1] == 12
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "x long, c string")
     assert {(r["column"], r["nulls"]) for r in profiling.nulls(df).collect()} == {("x", 0), ("c", 1)}
