@@ -152,9 +152,11 @@ def _best(questions: DataFrame, held: DataFrame, shards: int, blocks: int, m: in
     return merged.select("_a", "_b", F.slice("all", 1, k).alias("top"), settled.alias("settled"))
 
 
-def retrieve(terms: DataFrame, weighted: DataFrame, history: DataFrame, keys: list[str], k: int = 200) -> DataFrame:
+def retrieve(terms: DataFrame, weighted: DataFrame, history: DataFrame, keys: list[str], k: int = 200, among: DataFrame | None = None) -> DataFrame:
     """``keys, article_id, score, rank``: the ``k`` best of the corpus; articles of the history are left out.
 
+    With ``among(keys, article_id)`` only the rows of these articles are returned, with their ranks among all; no other row is shuffled.
+
     Impressions with the same terms and the same history ask one question. Documents are dealt to shards and questions to blocks; a cell of the two is
     summed in one place and sends on somewhat more than its share of the ``k`` best of a question. Should a shard hold more of them than that, the
     question is asked again of all shards for ``k`` each. So what is shuffled is neither a row per question and matching document nor one per
@@ -184,5 +186,10 @@ def retrieve(terms: DataFrame, weighted: DataFrame, history: DataFrame, keys: li
         more = materialize(rest, "best")
         discard(held, questions)
         best = best.where("settled").unionByName(more)
-    found = asked.select(*keys, "_a", "_b").join(best, ["_a", "_b"]).select(*keys, F.posexplode("top").alias("_n", "_x"))
-    return found.select(*keys, F.col("_x.i").alias("article_id"), (-F.col("_x.s")).alias("score"), (F.col("_n") + 1).alias("rank"))
+    found = asked.select(*keys, "_a", "_b")
+    top = F.transform("top", lambda x, n: F.struct(x["i"].alias("i"), (-x["s"]).alias("s"), (n + 1).alias("n")))
+    if among is not None:
+        found = found.join(among.groupBy(*keys).agg(F.collect_set(F.col("article_id").cast(kind)).alias("_among")), keys)
+        top = F.filter(top, lambda x: F.array_contains("_among", x["i"]))
+    found = found.join(best, ["_a", "_b"]).select(*keys, F.explode(top).alias("_x"))
+    return found.select(*keys, F.col("_x.i").alias("article_id"), F.col("_x.s").alias("score"), F.col("_x.n").alias("rank"))

@@ -307,9 +307,9 @@ def rank_bm25_candidates(m: Model) -> DataFrame:
     return ranked(bm25.candidate_scores(m.validation, _terms(m), bm25.weighted_postings(m.texts), IMP))
 
 
-def _bm25_top(m: Model) -> DataFrame:
+def _bm25_top(m: Model, among: DataFrame | None = None) -> DataFrame:
     terms = materialize(_terms(m), "asked-terms")
-    return bm25.retrieve(terms, bm25.weighted_postings(m.texts, terms), m.past, IMP)
+    return bm25.retrieve(terms, bm25.weighted_postings(m.texts, terms), m.past, IMP, among=among)
 
 
 @query
@@ -329,7 +329,7 @@ def _recalled(m: Model, retrieved: DataFrame, asked: DataFrame, method: str) ->
 @query
 def recall_bm25(m: Model) -> DataFrame:
     asked = bm25.recent_titles(m.past, m.articles, IMP).where("query <> ''")
-    return _recalled(m, _bm25_top(m), asked, "bm25")
+    return _recalled(m, _bm25_top(m, m.validation.where("y = 1")), asked, "bm25")
 
 
 # ---- vectors

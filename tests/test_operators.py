@@ -211,6 +211,18 @@ def test_retrieval_asks_a_question_once_and_again_where_a_shard_held_back(spark,
     assert len(once) == 40 * 12 and asked[0] == (6, 3) and len(asked) == 2 and asked[1][1] == 12
 
 
+def test_retrieval_returns_the_ranks_of_some_articles_alone(spark):
+    docs = spark.range(60).select(F.col("id").alias("article_id"), F.concat(F.lit("word common "), F.expr("repeat('t', cast(id % 7 + 2 as int))")).alias("text"))
+    terms = spark.createDataFrame([(i, t) for i in range(12) for t in ("common", "t" * (i % 7 + 2))], "imp long, term string")
+    past = spark.createDataFrame([(1, 1, 0)], "imp long, article_id long, age int")
+    among = spark.createDataFrame([(i, a) for i in range(11) for a in (i, i + 7, 59, 1000, i)] + [(1, None), (99, 1)], "imp long, article_id long")
+    weighted = bm25.weighted_postings(docs)
+    want = bm25.retrieve(terms, weighted, past, ["imp"], k=20).join(among.distinct(), ["imp", "article_id"], "left_semi")
+    got = bm25.retrieve(terms, weighted, past, ["imp"], k=20, among=among)
+    assert got.dtypes == want.select(got.columns).dtypes
+    assert 0 < got.count() == want.count() and got.exceptAll(want.select(got.columns)).isEmpty()
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "a")], "x long, c string")
     assert {(r["column"], r["nulls"]) for r in profiling.nulls(df).collect()} == {("x", 0), ("c", 1)}
