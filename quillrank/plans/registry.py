@@ -11,7 +11,7 @@ from ..operators import bm25, bootstrap, metrics, profiling, rankers, validation
 from ..operators.store import dedup, manifest
 from ..sources.readers import PLACE, file_profile, read_lines, read_tsv, read_vectors, with_place
 from ..sources.scratch import materialize, scratch_path
-from ..sources.writers import rank_lines, write_store, write_submission, written_lines
+from ..sources.writers import number_field, rank_lines, text_field, write_store, write_submission, written_lines
 from ..streaming.popularity import stream_popularity
 from .model import IMP, Model
 from .sql import SQL  # noqa: F401
@@ -192,10 +192,11 @@ def validate_order(m: Model) -> DataFrame:
 @query
 def tsv_round_trip(m: Model) -> DataFrame:
     """Behaviors as a headerless file: typed columns, a missing value and the place of each row."""
-    rows = m.events.select(F.concat_ws("\t", "event_id", "user_id", F.when(F.col("event_type") == "view", "NA").otherwise(F.col("event_type")), "article_id").alias("line"), "event_id")
+    kind = text_field(F.when(F.col("event_type") != "view", F.col("event_type")), "NA")
+    fields = [number_field(F.col("event_id")), number_field(F.col("user_id")), kind, number_field(F.col("article_id"))]
     folder = scratch_path(m.spark, "tsv")
-    write_submission(rows, ["event_id"], folder)
-    back = read_tsv(m.spark, folder, "event_id long, user_id long, event_type string, article_id long", ["NA"], places=True)
+    write_submission(m.events.select(F.concat_ws("\t", *fields).alias("line"), "event_id"), [F.asc_nulls_last("event_id")], folder)
+    back = read_tsv(m.spark, folder, "event_id long, user_id long, event_type string, article_id long", ["NA"], places=True, escaped=True)
     return validation.numbered(back, PLACE).select("idx", "event_id", "user_id", "event_type", "article_id")
 
 

@@ -15,13 +15,28 @@ TIME_FORMAT = "M/d/yyyy h:mm:ss a"
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str, missing: Sequence[str] = (), places: bool = False) -> DataFrame:
-    """A headerless, unquoted tab-separated file. Short lines give nulls; ``missing`` texts become null; ``places`` adds each row's place."""
+#: What stands for a character in the texts of an escaped file; a backslash is doubled, and the last mark is for nothing.
+ESCAPES = {"\\t": "\t", "\\n": "\n", "\\r": "\r", "\\0": "\0", "\\e": ""}
+
+
+def unescape(text: Column) -> Column:
+    def plain(part: Column) -> Column:
+        for mark, char in ESCAPES.items():
+            part = F.replace(part, F.lit(mark), F.lit(char))
+        return part
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str, missing: Sequence[str] = (), places: bool = False, escaped: bool = False) -> DataFrame:
+    """A headerless, unquoted tab-separated file. Short lines give nulls; ``missing`` texts become null; ``places`` adds each row's place; ``escaped`` texts are those of ``writers.text_field``."""
     df = spark.read.schema(schema).option("sep", "\t").option("quote", "").option("mode", "PERMISSIVE").csv(path)
     df = with_place(df) if places else df
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     if missing:
-        text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
         df = df.select(*[F.when(~F.col(c).isin(*missing), F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])
+    if escaped:
+        df = df.select(*[unescape(F.col(c)).alias(c) if c in text - set(PLACE) else F.col(c) for c in df.columns])
     return df
 
 

@@ -6,10 +6,10 @@ import json
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import PLACE, with_place
+from .readers import ESCAPES, PLACE, with_place
 
 
 def write_store(df: DataFrame, path: str, by: str = "split") -> None:
@@ -29,7 +29,21 @@ def rank_lines(ranked: DataFrame, id_column: str, keys: list[str]) -> DataFrame:
     return lists.select(*keys, text.alias("line"))
 
 
-def write_submission(lines: DataFrame, order: list[str], folder: str) -> None:
+def text_field(text: Column, missing: str) -> Column:
+    """``text`` as a field of a tab-separated line, for ``read_tsv`` with ``escaped``: ``missing`` if null; escaped where it would end a field or line or be taken for nothing."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for mark, char in ESCAPES.items():
+        out = F.replace(out, F.lit(char), F.lit(mark)) if char else out
+    bare = (out == missing) | out.rlike(r"^[\x00-\x20]*$")  # a line of blanks is no row to the reader
+    return F.coalesce(F.when(bare, F.concat(F.lit("\\e"), out)).otherwise(out), F.lit(missing))
+
+
+def number_field(number: Column) -> Column:
+    """``number`` as a field of a tab-separated line; empty if null."""
+    return F.coalesce(number.cast("string"), F.lit(""))
+
+
+def write_submission(lines: DataFrame, order: list[str | Column], folder: str) -> None:
     """Lines in the order of ``order`` as text, in parts that follow each other by name."""
     lines.orderBy(*order).select("line").write.mode("overwrite").text(folder)
 
